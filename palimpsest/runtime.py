@@ -40,10 +40,10 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, least: int = 0) -> DataFrame:
-    """Round-robin over at least all cores before Python-heavy narrow work, so few input files don't serialise it."""
-    n = max(least, df.sparkSession.sparkContext.defaultParallelism * 2, shuffle_width(df))
-    return df.repartition(n)
+def spread(df: DataFrame) -> DataFrame:
+    """Balanced partitions for Python-heavy narrow work. A scan of many files has them; one of few is dealt out round-robin."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= 8 * cores else df.repartition(max(3 * cores, shuffle_width(df)))
 
 
 def utc_month(ts) -> "F.Column":
