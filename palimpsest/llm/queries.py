@@ -1,7 +1,7 @@
 """All queries of the training-data operators, by name, and the SQL they are held against."""
 
-from palimpsest.llm import corpus, rankings, splitting
+from palimpsest.llm import corpus, rankings, similar_vectors, splitting
 
-MODULES = [splitting, rankings, corpus]
+MODULES = [splitting, similar_vectors, rankings, corpus]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
