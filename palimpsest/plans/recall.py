@@ -124,6 +124,11 @@ select query_id, axis, at_ "at", headline from w where al >= 2 and (n <= 15 or u
 d as (select *, row_number() over (partition by query_id, left(lower(fact), 40) order by pos) i from f where entity is not null and length(fact) >= 10 and not regexp_matches(fact, '(?i)as an ai|i don''t have|i cannot|i''m not able')),
 n as (select *, row_number() over (partition by query_id order by pos) number, count(*) over (partition by query_id) c from d where i = 1)
 select query_id, entity, number, fact from n where c >= 2""",
+    "disclosures": rf"""{_BASE}, u as (select query_id, pos, unnest(string_split(regexp_replace(content, {S.lit(V.HEADER)}, ''), chr(10))) l, generate_subscripts(string_split(regexp_replace(content, {S.lit(V.HEADER)}, ''), chr(10)), 1) j from f2 where pos <= 60),
+v as (select query_id, pos, j, string_split(regexp_replace(regexp_replace(regexp_replace(l, '(?i)^user\s*:\s*', ''), '\s+', ' ', 'g'), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)) p from u where regexp_matches(l, '(?i)^user\s*:')),
+x as (select query_id, pos, j, trim(unnest(p)) s, generate_subscripts(p, 1) i from v),
+n as (select *, row_number() over (partition by query_id order by pos, j, i) number from x where length(s) > 3 and not regexp_matches(s, '\?\s*$') and {S.matches('s', V.DISCLOSURE_MARKER)})
+select query_id, number, left(s, 240) sentence from n where number <= 12""",
     "chunk_scores": f"""with {S.POOL}, {_VEC}, best as (select query_id, min_by(id, (-sem, id)) lead_id from pool where sem is not null group by 1), ld as (select query_id, lead from best join rep on rep.id = lead_id)
 select query_id, p.id, round(max(case when list_dot_product(vec::double[], vec::double[]) > 0 and list_dot_product(lead::double[], lead::double[]) > 0 and not isnan(list_dot_product(vec::double[], vec::double[])) then list_dot_product(vec::double[], lead::double[]) / sqrt(list_dot_product(vec::double[], vec::double[])) / sqrt(list_dot_product(lead::double[], lead::double[])) else 0.0 end), 5) similarity
 from pool p join ck on ck.id = p.id join ld using (query_id) where len(vec) = len(lead) group by 1, 2""",

@@ -1,8 +1,8 @@
 """All queries of the core, by name, and the SQL they are held against."""
 
-from palimpsest.plans import integrity, recall, search
+from palimpsest.plans import ingest, integrity, maintenance, recall, search, streams
 
-MODULES = [search, recall, integrity]
+MODULES = [search, recall, ingest, maintenance, streams, integrity]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 FLAGSHIP = "search"
