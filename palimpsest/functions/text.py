@@ -112,7 +112,7 @@ def user_share(content: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.?!])\s+"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.?!])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) > 3)
 
 
