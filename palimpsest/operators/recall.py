@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions import vocabulary as V
+from palimpsest.runtime import cut
 
 
 def lexical_top(queries: DataFrame, records: DataFrame, k: int, salts: int = 8) -> DataFrame:
@@ -30,8 +31,9 @@ def lexical_top(queries: DataFrame, records: DataFrame, k: int, salts: int = 8)
 def bm25(rows: DataFrame, query: str = "query", content: str = "content", group: str = "query_id", key: str = "id") -> DataFrame:
     """rows that recall returns, with bm25 and place: terms are found inside words; with three terms and more two must be
     found; scores below a tenth of the best are noise. Statistics are those of the group's rows."""
-    low = F.lower(F.coalesce(F.col(content), F.lit("")))
-    base = rows.withColumns({"_terms": text.query_terms(F.col(query)), "_low": low, "_dl": F.size(F.split(low, r"\s+"))})
+    base = rows.select(group, key, F.col(query).alias("_query"), F.col(content).alias("_content"))
+    query, low = "_query", F.lower(F.coalesce("_content", F.lit("")))
+    base = base.withColumns({"_terms": text.query_terms(F.col(query)), "_low": low, "_dl": F.size(F.split(low, r"\s+"))})
     avg = base.groupBy(group).agg(F.avg("_dl").alias("_avg"), F.count(F.lit(1)).alias("_n"))
     hits = base.select(group, key, "_dl", F.size("_terms").alias("_q"), "_low", F.explode(F.array_distinct("_terms")).alias("term"))
     count = ((F.length("_low") - F.length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.length("term")).cast("int")
@@ -74,7 +76,7 @@ def leads(queries: DataFrame, rows: DataFrame, terms: int = 6, ids: int = 3) ->
     """
     good = F.filter(text.tokens(F.col("query")), lambda t: ~t.isin(V.LEAD_STOPS) & (F.length(t) >= 4))
     asked = queries.select("query_id", F.explode(good).alias("term"))
-    met = asked.join(rows.select("query_id", "id", "pos", F.lower("content").alias("low")), "query_id").where(F.contains("low", "term"))
+    met = cut(asked.join(rows.select("query_id", "id", "pos", F.lower("content").alias("low")), "query_id").where(F.contains("low", "term")).drop("low"))  # read twice
     n = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
     first = met.withColumn("i", F.row_number().over(W.partitionBy("query_id", "term").orderBy("pos"))).where(F.col("i") <= ids).groupBy("query_id", "term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]), ", ").alias("ids"))
     best = n.withColumn("lead", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("n").desc(), "term"))).where(F.col("lead") <= terms)

@@ -53,7 +53,12 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date": m["date"], "session": m["sessionId"], "taskref": m["taskRef"], "path": m["path"], "paths": m["paths"],
     }
     active = records(spark, sf_dir, keep).where(F.col("supersededBy").isNull() & (F.trim("content") != ""))
-    q = table(spark, sf_dir, "recall_query").select("query_id", "query", "options", "question_date", "top_k", F.col("semanticWeight").alias("w"))
+    # What depends on the question alone is worked out once per question, below the join.
+    ask = F.col("query")
+    q = table(spark, sf_dir, "recall_query").select(
+        "query_id", "query", "options", "question_date", "top_k", F.col("semanticWeight").alias("w"), text.question_class(ask).alias("class"), temporal.expressions(ask).alias("exprs"), temporal.question_date(F.col("question_date")).alias("asked_on"),
+        temporal.query_anchor(ask).alias("anchor"), (ask.rlike(V.CURRENT_STATE) & ~ask.rlike(V.PAST_QUESTION)).alias("current"),
+    )
     sig = signals(spark, sf_dir).select("query_id", "id", F.when(~F.isnan("semanticScore"), F.col("semanticScore")).alias("sem"), F.col("rerankScore").alias("rerank"))
     rows = sig.join(active, "id").join(q, "query_id")
     stats = rows.groupBy("query_id").agg(
@@ -83,20 +88,20 @@ def search_ranked(rows: DataFrame, o: Options) -> DataFrame:
     """The pool scored, re-scored, placed and cut at the recall floor."""
     if o.semantic_weight is not None:
         rows = rows.withColumn("w", F.lit(o.semantic_weight))
-    r = rank.scored(rows, V.WEIGHTS_SEARCH).withColumns({"class": text.question_class(F.col("query")), "day": temporal.record_date(F.col("date")), "trace": text.trace_id(F.col("session"), F.col("content"))})
-    s = F.col("score")
-    current = F.col("query").rlike(V.CURRENT_STATE) & ~F.col("query").rlike(V.PAST_QUESTION)
+    r = rank.scored(rows, V.WEIGHTS_SEARCH).withColumns({"day": temporal.record_date(F.col("date")), "trace": text.trace_id(F.col("session"), F.col("content"))})
+    s, current = F.col("score"), F.col("current")
     if o.policy in (13, 14, 15, 18):
-        anchor = temporal.query_anchor(F.col("query"))
+        anchor = F.col("anchor")
         if o.policy != 13:
             anchor = F.coalesce(anchor, F.when(current, temporal.record_date(F.col("newest"))))
         s = s * score.as_of(F.datediff(anchor, F.col("day")))
-    s = s * temporal.boost(temporal.expressions(F.col("query")), F.col("day"), temporal.question_date(F.col("question_date")))
+    s = s * temporal.boost(F.col("exprs"), F.col("day"), F.col("asked_on"))
     if o.policy > 1:
         s = s * score.self_reference(F.col("class"), text.user_share(F.col("content")))
     if o.policy == 18:
         s = s * F.when(~F.col("dated") & current & F.col("content").rlike(V.UPDATE_MARKER), V.UPDATE_BOOST).otherwise(1.0)
-    r = rank.placed(r.withColumn("score", s).where(F.col("score") >= o.floor))
+    # Placed before it is cut: what falls below the floor is the tail, and a filter below the window would score twice.
+    r = rank.placed(r.withColumn("score", s)).where(F.col("score") >= o.floor)
     if o.diversity:
         r = rank.diverse(r, o.diversity).withColumn("pos", F.col("diverse_pos"))
     return rank.per_trace(r, o.per_trace) if o.per_trace else r
@@ -167,7 +172,7 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pool(spark, sf_dir).withColumns({"class": text.question_class(F.col("query")), "trace": text.trace_id(F.col("session"), F.col("content"))})
+    p = pool(spark, sf_dir).withColumn("trace", text.trace_id(F.col("session"), F.col("content")))
     reference = (F.col("sessions") <= 2) & (F.col("chars") > 20_000) & (F.col("voice") < 0.2) & (F.col("class") != "task")
     return p.groupBy("query_id").agg(F.first("now").alias("now"), F.count(F.lit(1)).alias("n"), F.countDistinct("trace").alias("traces"), F.count_if(F.col("trace").isNull()).alias("untraced"), F.first("sessions").alias("sessions"), F.first("chars").alias("chars"), F.first("newest").alias("newest"), F.first("dated").alias("dated"), F.count_if(F.col("sem").isNotNull()).alias("with_vector"), (F.count("sem") / F.count(F.lit(1)) >= 0.9).alias("covered"), F.first(reference).alias("reference_doc"), F.first(resolved_budget(Options())).alias("budget"))
 
