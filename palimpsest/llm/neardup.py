@@ -129,33 +129,33 @@ def _sets(rows: DataFrame, width: int, least_words: int) -> DataFrame:
 
 
 def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
-    """(shard, part, side, class, print): each class at the shards of its rarest runs, those that no other has left out.
+    """(shard, a, b, second, rid, print): each class at the shards of its rarest runs, those that no other has left out.
 
     With n runs, floor((1 - similarity) n) + 1 of the rarest are enough. A run that one class has can't be shared, so only
     the others are sorted by class. A shard of more than shard_rows classes is cut into blocks, and each pair of blocks
     becomes a part of its own.
     """
-    each = classes.select("class", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    each = classes.select("rid", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     shared = each.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("run"))).where(F.col("df") > 1)
-    order = W.partitionBy("class").orderBy("df", "run")
-    ranked = shared.withColumn("i", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(W.partitionBy("class")))
-    first = ranked.where(F.col("i") + F.col("alone") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("run", "class")
+    order = W.partitionBy("rid").orderBy("df", "run")
+    ranked = shared.withColumn("i", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(W.partitionBy("rid")))
+    first = ranked.where(F.col("i") + F.col("alone") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("run", "rid")
     sized = cut(first)
     load = sized.groupBy("run").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > 1)
-    placed = sized.join(load, "run").join(classes.select("class", "print"), "class")
+    placed = sized.join(load, "run").join(classes.select("rid", "print"), "rid")
     blocks = F.ceil(F.col("load") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     low, high = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
     return (
         placed.withColumn("blocks", blocks)
         .withColumn("own", own)
-        .select("run", "class", "print", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.col("run").alias("shard"), low.alias("a"), high.alias("b"), (F.col("own") > F.col("other")).alias("second"), "class", "print")
+        .select("run", "rid", "print", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.col("run").alias("shard"), low.alias("a"), high.alias("b"), (F.col("own") > F.col("other")).alias("second"), "rid", "print")
     )
 
 
 def _search(shards: DataFrame, within: int) -> DataFrame:
-    """(a, b) of the classes whose fingerprints lie within the radius, by one BK-tree after another."""
+    """(x, y), numbers of the classes whose fingerprints lie within the radius, by one BK-tree after another."""
     parts = max(shuffle_width(shards), 2 * shards.sparkSession.sparkContext.defaultParallelism)
     sorted_ = shards.repartition(parts, "shard", "a", "b").sortWithinPartitions("shard", "a", "b", "second")
 
@@ -178,9 +178,9 @@ def _search(shards: DataFrame, within: int) -> DataFrame:
                     tree.add(x, name)
                 if len(seen) > 1 << 18:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
 
-    return sorted_.mapInArrow(run, "a string, b string").distinct()
+    return sorted_.mapInArrow(run, "x bigint, y bigint").distinct()
 
 
 def links(items: DataFrame, key: str, text: str, similarity: float = 0.8, width: int = 5, least_words: int = 0, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -196,13 +196,14 @@ def links(items: DataFrame, key: str, text: str, similarity: float = 0.8, width:
     tagged = sets.select("id", *[x.alias(f"h{i}") for i, x in enumerate(same)])
     names = tagged.groupBy("h0", "h1", "h2").agg(F.min("id").alias("class"))
     members = cut(tagged.join(names, ["h0", "h1", "h2"]).select("class", "id"))
-    classes = sets.join(members.where(F.col("class") == F.col("id")).select("class"), F.col("id") == F.col("class")).select("class", "runs", "print")
+    # Shuffles carry a class's number, fixed once it is written, instead of its name.
+    classes = cut(sets.join(members.where(F.col("class") == F.col("id")).select("class"), F.col("id") == F.col("class")).select("class", "runs", "print").withColumn("rid", F.monotonically_increasing_id()))
     found = cut(_search(_shards(classes, similarity, shard_rows), radius(similarity)))
-    runs = lambda side: classes.select(F.col("class").alias(side), F.col("runs").alias(f"runs_{side}"))
+    runs = lambda n, side: classes.select(F.col("rid").alias(n), F.col("class").alias(side), F.col("runs").alias(f"runs_{side}"))
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     share = common / (F.size("runs_a") + F.size("runs_b") - common)
-    pairs = found.join(runs("a"), "a").join(runs("b"), "b").select("a", "b", share.alias("similarity")).where(F.col("similarity") >= similarity)
-    return members, cut(pairs)
+    alike = found.join(runs("x", "a"), "x").join(runs("y", "b"), "y").withColumn("similarity", share).where(F.col("similarity") >= similarity)
+    return members, cut(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
 
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
