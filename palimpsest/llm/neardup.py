@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import cut, shuffle_width, spread
 
 BITS, SIGMAS, SHARD_ROWS = 256, 4.5, 4_096
+#: Runs so frequent that they aren't counted: at most HOT_MOST, those that HOT_LEAST of every HOT_PART-th class have.
+HOT_MOST, HOT_LEAST, HOT_PART = 1_000, 2_000, 16
 _WORD = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])[^\W_])+")
 _MASK = (1 << 64) - 1
 
@@ -128,7 +130,14 @@ def _sets(rows: DataFrame, width: int, least_words: int) -> DataFrame:
     return spread(rows).mapInArrow(run, "id string, runs array<bigint>, print binary")
 
 
-def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
+def _hot(each: DataFrame, least: int = HOT_LEAST) -> list[int]:
+    """The most frequent runs. Any one order of runs loses no pair, so these may stand last without being counted; thus no
+    task has to gather a run that a third of all records have."""
+    part = each.where(F.pmod(F.xxhash64("rid"), F.lit(HOT_PART)) == 0).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    return [r.run for r in part.orderBy(F.col("c").desc(), "run").limit(HOT_MOST).collect()]
+
+
+def _shards(classes: DataFrame, similarity: float, shard_rows: int, hot_least: int = HOT_LEAST) -> DataFrame:
     """(shard, a, b, second, rid, print): each class at the shards of its rarest runs, those that no other has left out.
 
     With n runs, floor((1 - similarity) n) + 1 of the rarest are enough. A run that one class has can't be shared, so only
@@ -136,7 +145,11 @@ def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame
     becomes a part of its own.
     """
     each = classes.select("rid", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    shared = each.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("run"))).where(F.col("df") > 1)
+    hot = _hot(each, hot_least)
+    shared = each.where(~F.col("run").isin(hot)) if hot else each
+    shared = shared.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("run"))).where(F.col("df") > 1)
+    if hot:
+        shared = shared.unionByName(each.where(F.col("run").isin(hot)).withColumn("df", F.lit(1 << 60)))
     order = W.partitionBy("rid").orderBy("df", "run")
     ranked = shared.withColumn("i", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(W.partitionBy("rid")))
     first = ranked.where(F.col("i") + F.col("alone") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("run", "rid")

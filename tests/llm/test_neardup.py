@@ -50,6 +50,15 @@ def test_pairs_groups_and_blocks(spark):
     assert neardup.expand(members, pairs).count() == 0 and neardup.groups(members, pairs).count() == 0
 
 
+def test_uncounted_frequent_runs_lose_no_pair(spark, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(list(docs.items()), "id string, content string")
+    want, _ = brute(docs, 12, 0.6, 3)
+    monkeypatch.setattr(neardup, "HOT_PART", 1)
+    monkeypatch.setattr(neardup._shards, "__defaults__", (3,))
+    assert {(r.id_a, r.id_b) for r in neardup.expand(*neardup.links(df, "id", "content", 0.6, 3, 12)).collect()} == want
+
+
 def test_tree_is_exact_search():
     r = random.Random(1)
     tree, all_ = neardup.BKTree(), []
