@@ -18,13 +18,13 @@ ZH_FAMILY, ZH_GIVEN = "王李张刘陈杨赵黄周吴徐孙马朱胡郭何高罗
 ROADS_EN = "Street St St. Road Rd Lane Close Avenue Ave Ave. Drive Way Court Blvd Terrace Place Crescent Square".split()
 ROADS_DE, ROADS_FR, ROADS_ES = "straße weg allee gasse platz ring ufer".split(), "rue avenue allée chemin place impasse boulevard quai".split(), "Calle Avenida Plaza Camino Paseo Ronda".split()
 PLACES = "Maple Alder Mill Church Station Harbour Willow Garden Orchard Bridge Castle Meadow North South Old New Upper Lower Abbey Chapel Fennel Gravel".split()
-PLACES_DE, PLACES_ES = "Linden Kirsch Mühlen Garten Bahnhof Berg Wald Rosen Eichen Schloss Birken Hafen".split(), ["del Molino Nuevo", "de la Fuente", "Los Olivos", "San Andrés", "Cuatro Vientos", "del Puerto Viejo", "Dos Pinos", "Real"]
-PLACES_FR, PLACES_ZH = ["des Lilas", "du Vieux-Port", "de la Gare", "des Trois-Moulins", "du Marché", "des Peupliers", "Saint-Lambert"], ["长宁", "青松", "望江", "听雨", "石桥", "花园", "临湖", "梅园"]
+PLACES_DE, PLACES_ES = "Linden Kirsch Mühlen Garten Bahnhof Berg Wald Rosen Eichen Schloss Birken Hafen".split(), ["de la Loma", "de la Sierra", "de las Flores", "del Olmo", "de la Ermita", "del Molino Nuevo", "de la Fuente", "Los Olivos", "San Andrés", "Cuatro Vientos", "del Puerto Viejo", "Dos Pinos", "Real"]
+PLACES_FR, PLACES_ZH = ["des Lilas", "de la Source", "de la Vallée", "de la Croix", "du Vieux-Port", "de la Gare", "des Trois-Moulins", "du Marché", "des Peupliers", "Saint-Lambert"], ["长宁", "青松", "望江", "听雨", "石桥", "花园", "临湖", "梅园"]
 HOSTS, TOPS = "mail post inbox quarry-2 office home lakeside team".split(), "example.com example.org example.net test invalid co.example".split()
 
 TEXTS = {
     "email": [
-        "You can reach me at {email} any time.", "Send the file to {email} please.", "cc {email} when it is done.", "My mail is {email} now.", "Write to {email} about the offer.", "Owner of the account: {email} (verified).", "Account owner: {email} (checked).", "My address for bills is {email} for now.", "{email} is where I read mail.",
+        "You can reach me at {email} any time.", "Send the file to {email} please.", "cc {email} when it is done.", "cc {email} on the minutes, please.", "Mail {email}, not me.", "My mail is {email} now.", "Write to {email} about the offer.", "Owner of the account: {email} (verified).", "Account owner: {email} (checked).", "My address for bills is {email} for now.", "{email} is where I read mail.",
         "Schreib an {email} wegen des Vertrags.", "Meine Adresse ist {email} seit gestern.", "Écris à {email} pour le devis.", "Mon courriel est {email} désormais.", "Escribe a {email} por el pedido.", "Mi correo es {email} ahora.", "请发邮件到 {email} 确认。", "我的邮箱是{email}，随时联系。",
     ],
     "phone": [
@@ -32,16 +32,16 @@ TEXTS = {
         "Meine Nummer ist {phone} seit Mai.", "Ruf {phone} an.", "Mon numéro est le {phone} maintenant.", "Appelle le {phone} ce soir.", "Mi número es {phone} desde ayer.", "Llama al {phone} mañana.", "我的电话是 {phone} ，下午都在。", "请拨打{phone}联系我。",
     ],
     "id_number": [
-        "My passport number is {id_number}.", "Travel document {id_number} runs out in May.", "SSN {id_number} was in the mail.", "National insurance number {id_number} is stored.", "The form asked for my number {id_number} twice.", "They noted {id_number} as the holder.", "The tax id {id_number} is mine.", "Identity card {id_number} was lost.", "Insurance entry {id_number} is in the file.", "They logged {id_number} for the holder.", "SSN {id_number} was pasted here.", "A passport, {id_number}, was shown.",
+        "My passport number is {id_number}.", "Travel document {id_number} runs out in May.", "SSN {id_number} was in the mail.", "National insurance number {id_number} is stored.", "The form asked for my number {id_number} twice.", "The office wanted my number {id_number} back.", "They noted {id_number} as the holder.", "The tax id {id_number} is mine.", "Identity card {id_number} was lost.", "Insurance entry {id_number} is in the file.", "They logged {id_number} for the holder.", "SSN {id_number} was pasted here.", "A passport, {id_number}, was shown.",
         "Im Formular steht {id_number} als Kennung.", "Der Ausweis {id_number} ist abgelaufen.", "Le dossier a le numéro {id_number} toujours.", "Ma carte d’identité est {id_number}.", "El documento {id_number} vence en mayo.", "Mi pasaporte es {id_number}.", "证件号码{id_number}已经登记。", "身份证号{id_number}已上传。",
     ],
     "address": [
-        "I moved to {en} last year.", "The parcel goes to {en} from today.", "We live at {en} near the park.", "Pick it up at {en} after work.", "The shop is {en} near the church.", "The depot is {en} by the lake.", "Registered at {en} since March.", "My flat is at {en}.", "Deliver to {en} please.",
+        "I moved to {en} last year.", "The parcel goes to {en} from today.", "We live at {en} near the park.", "Pick it up at {en} after work.", "Pick-up is {en}, by the gate.", "The shop is {en} near the church.", "The depot is {en} by the lake.", "Registered at {en} since March.", "My flat is at {en}.", "Deliver to {en} please.",
         "Ich wohne in der {de} im Hof.", "Lieferung an {de} bitte.", "Wir sind in die {de} gezogen.", "J’habite au {fr} depuis peu.", "Livraison : {fr} au fond.", "Ahora vivo en {es} junto al río.", "Entrega en {es} por favor.", "我现在住在{zh}，靠近公园。", "请寄到{zh}。",
     ],
     "name": [
         "Please ask {name} to sign.", "I had lunch with {name} today.", "{name} called about the flat.", "My neighbour is called {name} now.", "Approved by {name} in the second round.", "Contact: {name}; ask first.", "Thanks to {name} for the help.", "{name} will visit us in June.", "Dr. {name} saw me on Monday.", "Mrs. {name} wrote back.", "My doctor is {name}.", "{name} called about the rent.", "I saw {name} yesterday.", "My landlady is called {name} these days.", "Signed by {name} on Tuesday.",
-        "Bitte frag {name} nach dem Ordner.", "Herr {name} hat angerufen.", "{name} kommt morgen.", "Demande à {name} de venir.", "Mme {name} a signé.", "Pide a {name} que venga.", "La Sra. {name} llamó ayer.", "请转告{zhname}，文件在前台。", "联系人{zhname}会来签字。", "{zhname}先生昨天来过。", "我和{zhname}吃了饭。",
+        "Bitte frag {name} nach dem Ordner.", "Frag {name} nach der Liste.", "Herr {name} hat angerufen.", "{name} kommt morgen.", "Demande à {name} de venir.", "Mme {name} a signé.", "Pide a {name} que venga.", "La Sra. {name} llamó ayer.", "请转告{zhname}，文件在前台。", "联系人{zhname}会来签字。", "{zhname}先生昨天来过。", "我和{zhname}吃了饭。",
     ],
     "mixed": [
         "Contact: {name}; {email}; {phone}.", "Reach {name} under {phone} or via {email} any day.", "{name} ({email}) answers at {phone} before ten.", "{name}, {en}, {phone}.", "{name} lives at {en} and has {id_number}.", "{name} ({email}) picks up the keys.", "Contact: {name}; {phone}.", "Contact: {name}; {email}; {phone}. Ring first.", "Contact: {name}; {email}.", "Reach {name} at {email}.", "{name} ({phone}) is free at nine.", "Ask {name} under {phone} first.", "Kontakt: {name}, {phone}.", "{name} <{email}>",
@@ -85,7 +85,7 @@ class Filler:
 
     def email(self) -> str:
         r = self.r
-        g, f = r.choice(GIVEN).lower(), r.choice(FAMILY).lower()
+        g, f = (re.sub(r"[^a-z]", "", r.choice(r.choice(x)).lower()) for x in ([GIVEN, self.given], [FAMILY, self.family]))
         user = r.choice([f"{g}.{f}", f"{f}-{g}", f"{g}_{self.digits(4)}", f"{g[0]}{f}", f"{g}+note{self.digits(3)}", f"{f}{self.digits(4)}"])
         host = r.choice([r.choice(HOSTS) + ".", ""]) + r.choice(HOSTS) + "." + r.choice(TOPS)
         form = r.random()
