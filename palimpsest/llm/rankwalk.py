@@ -78,12 +78,12 @@ def _places(group: np.ndarray, item: np.ndarray, weight: np.ndarray, scores: np.
     return place
 
 
-def _bucket(cols: list[str]):
+def _bucket(cols: list[str], steps: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pdf[["_g", "_id"]].assign(weight=0.0, place=0)
         group, scores = pd.factorize(pdf["_g"])[0], pdf[cols].to_numpy(float)
-        weight = walk(group, scores)
+        weight = walk(group, scores, steps=steps)
         return pdf[["_g", "_id"]].assign(weight=weight, place=_places(group, pd.factorize(pdf["_id"], sort=True)[0], weight, scores))
 
     return run
@@ -142,7 +142,7 @@ def rank(items: DataFrame, group: str, item: str, scores: list[str], huge: int =
         rows = rows.join(sizes, "_g")
         small = rows.where(F.col("_n") <= huge).drop("_n")
     kinds = [rows.schema[c].dataType.simpleString() for c in ("_g", "_id")]
-    out = small.groupBy(F.pmod(F.xxhash64("_g"), F.lit(buckets)).alias("_b")).applyInPandas(_bucket(cols), f"_g {kinds[0]}, _id {kinds[1]}, weight double, place int")
+    out = small.groupBy(F.pmod(F.xxhash64("_g"), F.lit(buckets)).alias("_b")).applyInPandas(_bucket(cols, steps), f"_g {kinds[0]}, _id {kinds[1]}, weight double, place int")
     if n_huge:
         out = out.unionByName(_huge(cut(rows.where(F.col("_n") > huge)), cols, steps))
     return out.select(F.col("_g").alias(group), F.col("_id").alias(item), "weight", F.col("place").cast("int").alias("place"))

@@ -44,27 +44,16 @@ def test_rank_small_and_distributed_agree(spark):
     r = np.random.default_rng(3)
     rows = [(f"q{i % 3}", f"d{i:04}", *[None if x < -1.5 else float(round(x, 1)) for x in r.normal(size=3)], float("nan") if i % 17 == 0 else float(i % 7), "x") for i in range(150)]
     df = spark.createDataFrame([*rows, (None, "d", 1.0, 1.0, 1.0, 1.0, "x"), ("q1", None, 1.0, 1.0, 1.0, 1.0, "x")], "query_id string, id string, a double, b double, c double, d double, place string")
-    run = lambda **kw: {(x.query_id, x.id): (round(x.weight, 9), x.place) for x in rankwalk.rank(df, "query_id", "id", ["a", "b", "c", "d"], **kw).collect()}
+    run = lambda **kw: {(x.query_id, x.id): (round(x.weight, 9), x.place) for x in rankwalk.rank(df, "query_id", "id", ["a", "b", "c", "d"], steps=2, **kw).collect()}
     small = run()
     assert len(small) == 150 and {p for (q, _), (_, p) in small.items() if q == "q0"} == set(range(1, 51))
-    few = rankwalk.STEPS
-    try:
-        rankwalk.STEPS = 3
-        rankwalk.walk.__defaults__ = (rankwalk.DAMPING, 3)
-        import palimpsest.llm.rankwalk as m
-
-        assert m.rank(df.limit(0), "query_id", "id", ["a"]).count() == 0
-    finally:
-        rankwalk.STEPS = few
-        rankwalk.walk.__defaults__ = (rankwalk.DAMPING, few)
+    assert run(huge=49) == small  # every group walked by distributed prefix sums
+    assert rankwalk.rank(df.limit(0), "query_id", "id", ["a"]).count() == 0
 
 
 def test_distributed_step_is_the_chain(spark):
-    from pyspark.sql import functions as F
-
     r = np.random.default_rng(4)
     s = r.integers(0, 9, (40, 2)).astype(float)
     items = spark.createDataFrame([("g", f"{i:02}", *map(float, s[i]), 40) for i in range(40)], "_g string, _id string, _s0 double, _s1 double, _n bigint")
     got = {x._id: x.weight for x in rankwalk._huge(items, ["_s0", "_s1"], 3, block=4).collect()}
     assert np.allclose([got[f"{i:02}"] for i in range(40)], brute(s, steps=3))
-    assert F is not None
