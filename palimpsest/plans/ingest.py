@@ -222,10 +222,10 @@ s as (select id, case when sum(m) > 0 then sum(case when coalesce(w, 'user') = '
 select id, round(share, 6) share, share > 0.6 user_heavy, round(1 + 0.35 * greatest(0.0, share - 0.5) * 2, 6) factor from s""",
     "date_functions": f"select id, {S.date_key('metadata.date')} date_key, strftime({S.record_date('metadata.date')}, '%Y-%m-%d') record_date, strftime(ingested_at::timestamptz at time zone 'UTC', '%Y-%m-%d') as day, strftime(ingested_at::timestamptz at time zone 'UTC', '%Y-%m-%d') day_s from {S.REC}",
     "note_records": f"""with n as (select id, content, tags, metadata.mtimeMs m, floor(greatest(0, 1782000000000 - metadata.mtimeMs) / 60000.0 + 0.5) mins from {S.NOTE} where trim(content) <> ''), h as (select *, floor(mins / 60.0 + 0.5) hrs from n), d as (select *, floor(hrs / 24.0 + 0.5)::int dd from h)
-select id, md5('note: ' || content) as content, case when len(list_intersect(coalesce(tags, []), [{', '.join(map(S.lit, V.OFFICE_TAGS))}])) > 0 then 0.9 else 0.7 end ss, case when m is null or m <= 0 or mins < 15 then '' when mins < 60 then 'updated ~30m ago' when hrs < 4 then 'updated ~2h ago' when hrs < 12 then 'updated earlier today' when hrs < 24 then 'updated today' when hrs < 48 then 'updated yesterday' when dd <= 7 then 'updated ~' || dd || 'd ago' when dd <= 30 then 'updated ~weeks ago' else 'updated >1mo ago' end age from d""",
+select id, md5('note: ' || content) as content, case when len(list_intersect(coalesce(tags, []), [{', '.join(map(S.lit, V.OFFICE_TAGS))}])) > 0 then 0.9::double else 0.7 end ss, case when m is null or m <= 0 or mins < 15 then '' when mins < 60 then 'updated ~30m ago' when hrs < 4 then 'updated ~2h ago' when hrs < 12 then 'updated earlier today' when hrs < 24 then 'updated today' when hrs < 48 then 'updated yesterday' when dd <= 7 then 'updated ~' || dd || 'd ago' when dd <= 30 then 'updated ~weeks ago' else 'updated >1mo ago' end age from d""",
     "todo_items": f"with {_ITEMS} select doc_id, pos, num, subject, status from items where length(subject) > 0",
     "todo_facts": f"""with {_ITEMS}, f as (select distinct scope, status fact, subject from items where status in ('completed', 'blocked') and length(subject) >= 3)
-select scope, {_HASH.format("scope, 'todo', fact, subject")} id, 'task ' || fact || ': ' || subject as content, case when fact = 'blocked' then 0.6 else 0.4 end ss, case when fact = 'blocked' then 0.8 else 0.5 end rs from f""",
+select scope, {_HASH.format("scope, 'todo', fact, subject")} id, 'task ' || fact || ': ' || subject as content, case when fact = 'blocked' then 0.6::double else 0.4 end ss, case when fact = 'blocked' then 0.8::double else 0.5 end rs from f""",
     "todo_anchor": f"""with {_ITEMS}, k as (select *, row_number() over (partition by doc_id, status order by num, subject) n from items where length(subject) > 0)
 select doc_id, coalesce(string_agg(subject, '; ' order by n) filter (where status = 'in_progress' and n <= 3), '') active, count(*) filter (where status = 'pending') pending, count(*) filter (where status = 'completed') completed, count(*) filter (where status = 'blocked') blocked from k group by 1""",
     "corrections": rf"""with s as (select doc_id, unnest(p) x, generate_subscripts(p, 1) j from (select doc_id, string_split_regex(text, '[。！？!?\n；;]+|\.\s+') p from documents where length(text) >= 8)),

@@ -161,7 +161,7 @@ adj as (select part, id, layer = 'L0' and kind = 'episodic' e, lead(id) over w t
 ed as (select distinct a.part, a.id src, b.id dst, a.k as kind from m a join m b on a.part = b.part and a.k = b.k and a.g = b.g and a.id < b.id
   union select s.part, least(s.id, t.id), greatest(s.id, t.id), 'supersede' from pg s join pg t on s.part = t.part and lower(trim(s.supersededBy)) = t.id and s.id <> t.id
   union select part, least(id, to_), greatest(id, to_), 'adjacent' from adj where e and te),
-edges as (select *, case kind when 'task' then 0.6 when 'supersede' then 0.8 else 0.5 end weight from ed)"""
+edges as (select *, case kind when 'task' then 0.6::double when 'supersede' then 0.8 else 0.5 end weight from ed)"""
 SQL = {
     "duplicate_marks": f"with {_R}, {_DUP} select id, keeper from mark",
     "dream_report": _DREAM + " select scope, count(*) scanned, count(keeper) deduped, count(*) filter (where newarch) archived, count(*) filter (where promoted) promotion_candidates, count(*) filter (where active) active from d group by 1",

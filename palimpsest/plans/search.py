@@ -289,7 +289,7 @@ SQL |= {
     "diversity_rerank": f"{_BASE}, d0 as (select *, score * case when row_number() over (partition by query_id, trace order by pos) = 1 then 1.2 else 1.0 end adj from f2) select query_id, id, pos, row_number() over (partition by query_id order by round(adj, 9) desc, pos) diverse_pos from d0",
     "outside_rerank": f"{_BASE} select query_id, id, pos, row_number() over (partition by query_id order by (pos > 40)::int, case when pos <= 40 then coalesce(case when isnan(rerank) then null else rerank end, -1) end desc nulls last, pos) reranked from f2",
     "option_rank": f"with {S.POOL}, asks as (select p.*, unnest(list_distinct(list_filter(list_concat([query], coalesce(options, [])), lambda x: x is not null))) ask from pool p), {S.ranked(V.WEIGHTS_CONTEXT, 'ask', 'asks')}, best as (select query_id, id, max(score) score, count(*) n_asks, any_value(n) n from scored group by 1, 2) select query_id, id, n_asks, pos, {_LEVEL} as level, round(score, 6) score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) pos from best)",
-    "temporal_match": f"with {S.POOL}, d as (select query_id, id, query || ' yesterday, 3 weeks ago, 2 months ago, last year, in march, on may 5, 2025-06-01' q, {S.record_date('date')} as day, {S.question_date('question_date')} a from pool) select query_id, id, 1.3 factor from d where day is not null and a is not null and {_expr_sql('q', 'day', 'a')}",
+    "temporal_match": f"with {S.POOL}, d as (select query_id, id, query || ' yesterday, 3 weeks ago, 2 months ago, last year, in march, on may 5, 2025-06-01' q, {S.record_date('date')} as day, {S.question_date('question_date')} a from pool) select query_id, id, 1.3::double factor from d where day is not null and a is not null and {_expr_sql('q', 'day', 'a')}",
     "classify_questions": f"""select query_id, class, case class {' '.join(f"when '{c}' then {b}" for c, b in V.BUDGETS.items())} end budget, {S.matches('query', V.TEMPORAL_PROMPT)} timeline, ({S.matches('query', V.CURRENT_STATE)} and not {S.matches('query', V.PAST_QUESTION)}) current_state, {S.matches('query', V.UPDATE_MARKER)} update_marker,
   {S.matches('query', V.ADVICE_NARROW)} advice, {S.matches('query', V.ADVICE_WIDE)} advice_wide, nullif(trim(regexp_extract(query, '(?i)how many\\s+(?:\\w+\\s+)*?(\\w[\\w\\s]*?)(?:\\s+(?:do|did|have|has|are|were|was|is|have I|did I|am I))', 1)), '') entity, strftime({_anchor_sql('query')}, '%Y-%m-%d') anchor from (select *, {S.question_class('query')} class from recall_query)""",
     "pool_stats": f"""with {S.POOL}, c as (select *, {S.question_class('query')} class, {S.trace('session', 'content')} trace from pool)
