@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import cut
 
 DAMPING, STEPS, BUCKET_ROWS, HUGE = 0.9, 60, 50_000, 200_000
-LOCAL = 2_000  # places, from the first, within which neighbours are swapped
+BLOCK, WINDOW = 2_000, 4_096  # rows settled by insertion, and looked at together when two settled runs are merged
 
 
 def clean(score):
@@ -55,26 +55,58 @@ def walk(group: np.ndarray, scores: np.ndarray, damping: float = DAMPING, steps:
     return pi
 
 
-def settle(scores: np.ndarray) -> np.ndarray:
-    """Order of rows, given in the walk's order, in which no neighbours are against the majority of the scores."""
+def _inserted(scores: np.ndarray) -> np.ndarray:
+    """Each row moves up past its neighbour while the majority of the scores prefers it."""
     n, k = scores.shape
-    wins = (scores[:, None, :] > scores[None, :, :]).sum(2) * 2 > k
     out = np.empty(n, int)
     for m in range(n):
-        beats = wins[m, out[:m]][::-1]
-        at = m - (m if beats.all() else int(beats.argmin()))
+        at, step = m, 16
+        while at:
+            beats = ((scores[m] > scores[out[max(0, at - step) : at]]).sum(1) * 2 > k)[::-1]
+            at -= len(beats) if beats.all() else int(beats.argmin())
+            if not beats.all():
+                break
+            step *= 4
         out[at + 1 : m + 1] = out[at:m]
         out[at] = m
     return out
 
 
+def _merged(scores: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two settled runs as one: the head of b goes first only where the majority prefers it, so all new neighbours were compared."""
+    out, k, i, j, at = np.empty(len(a) + len(b), int), scores.shape[1], 0, 0, 0
+    while i < len(a) and j < len(b):
+        xs, ys, second = scores[a[i : i + WINDOW]].tolist(), scores[b[j : j + WINDOW]].tolist(), []
+        p = q = 0
+        while p < len(xs) and q < len(ys):
+            won = sum([y > x for x, y in zip(xs[p], ys[q], strict=True)]) * 2 > k
+            second.append(won)
+            p, q = p + (not won), q + won
+        took, part = np.array(second), out[at : at + len(second)]
+        part[took], part[~took] = b[j : j + q], a[i : i + p]
+        i, j, at = i + p, j + q, at + len(second)
+    out[at:] = np.r_[a[i:], b[j:]]
+    return out
+
+
+def settle(scores: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Order of rows, given in the walk's order, in which no neighbours are against the majority of the scores.
+
+    Down such an order nobody is beaten by the next, so no step leads from outside of a set whose members beat all
+    others into it: all such sets come first, however many rows there are. n log n comparisons.
+    """
+    runs = [a + _inserted(scores[a : a + block]) for a in range(0, len(scores), block)]
+    while len(runs) > 1:
+        runs = [_merged(scores, *runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0] if runs else np.empty(0, int)
+
+
 def _places(group: np.ndarray, item: np.ndarray, weight: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """Places from 1. Rounding makes items whose walks are equal equal, however they were summed; the item decides."""
     place = np.empty(len(group), int)
     order = np.lexsort((item, -weight.round(12), group))
     for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-        top = rows[:LOCAL]
-        place[np.r_[top[settle(scores[top])], rows[LOCAL:]]] = np.arange(1, len(rows) + 1)
+        place[rows[settle(scores[rows])]] = np.arange(1, len(rows) + 1)
     return place
 
 
@@ -114,23 +146,23 @@ def _huge(items: DataFrame, cols: list[str], steps: int, block: int = 20_000) ->
         pi = cut(got.select("_g", "_id", ((1 - DAMPING) / F.col("_n") + DAMPING * F.col("got") / len(cols)).alias("pi"), "_n"))
     placed = cut(pi.select("_g", "_id", F.col("pi").alias("weight"), F.row_number().over(W.partitionBy("_g").orderBy(F.round("pi", 12).desc(), "_id")).alias("place")))
 
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        fixed = np.empty(len(pdf), int)
-        fixed[settle(pdf[cols].to_numpy(float))] = np.arange(1, len(pdf) + 1)
-        return pdf[["_g", "_id", "weight"]].assign(place=fixed)
+    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", ignore_index=True)
+        return pdf[["_g", "place"]].iloc[settle(pdf[cols].to_numpy(float))].assign(fixed=np.arange(1, len(pdf) + 1))
 
-    head = placed.where(F.col("place") <= LOCAL).join(items.drop("_n"), ["_g", "_id"]).groupBy("_g").applyInPandas(top, placed.schema)
-    return placed.where(F.col("place") > LOCAL).unionByName(head)
+    # The whole group is settled in one task, which gets places and scores only.
+    fixed = placed.join(items.drop("_n"), ["_g", "_id"]).select("_g", "place", *cols).groupBy("_g").applyInPandas(settled, f"_g {items.schema['_g'].dataType.simpleString()}, place int, fixed int")
+    return placed.join(fixed, ["_g", "place"]).select("_g", "_id", "weight", F.col("fixed").alias("place"))
 
 
 def rank(items: DataFrame, group: str, item: str, scores: list[str], huge: int = HUGE, steps: int = STEPS) -> DataFrame:
     """(group, item, weight, place): one ranking per group.
 
     items: one row per (group, item); null and NaN scores rank below any other; infinite ones as they compare. Equal
-    weights are ordered by the item; neighbours are swapped within the first 2 000 places. Rows with a null group or item are left out. Extra columns are ignored; an empty
-    table gives no rows. Groups of more than `huge` items are walked by distributed prefix sums, smaller ones are
-    gathered, whole, into buckets of about 50 000 rows per task.
+    weights are ordered by the item; neighbours are swapped in the whole group. Rows with a null group or item are left
+    out. Extra columns are ignored; an empty table gives no rows. Groups of more than `huge` items are walked by
+    distributed prefix sums and only settled in one task, smaller ones are gathered, whole, into buckets of about 50 000
+    rows per task.
     """
     rows = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("_g"), F.col(item).alias("_id"), *[clean(F.col(c)).alias(f"_s{i}") for i, c in enumerate(scores)])
     cols = [f"_s{i}" for i in range(len(scores))]

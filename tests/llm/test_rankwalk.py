@@ -57,3 +57,49 @@ def test_distributed_step_is_the_chain(spark):
     items = spark.createDataFrame([("g", f"{i:02}", *map(float, s[i]), 40) for i in range(40)], "_g string, _id string, _s0 double, _s1 double, _n bigint")
     got = {x._id: x.weight for x in rankwalk._huge(items, ["_s0", "_s1"], 3, block=4).collect()}
     assert np.allclose([got[f"{i:02}"] for i in range(40)], brute(s, steps=3))
+
+
+def hidden_winner(n):
+    """n rows, each best in one of four scores, and a last one that beats each of them in exactly three."""
+    r = np.random.default_rng(5)
+    s = r.uniform(0, 1, (n, 4))
+    s[np.arange(n), np.arange(n) % 4] += 10
+    return np.r_[s, np.full((1, 4), 5.0)]
+
+
+def test_winner_far_down_the_walk_comes_first():
+    s = hidden_winner(40_000)
+    group, item = np.zeros(len(s), int), np.arange(len(s))
+    weight = rankwalk.walk(group, s)
+    assert (weight > weight[-1]).sum() > 2_000  # its place by the walk alone
+    place = rankwalk._places(group, item, weight, s)
+    assert place[-1] == 1 and sorted(place) == list(range(1, len(s) + 1))
+    order = np.argsort(place)
+    assert ((s[order[1:]] > s[order[:-1]]).sum(1) < 3).all()
+
+
+def test_distributed_walk_settles_the_whole_group(spark):
+    s = hidden_winner(30_000)
+    rows = spark.createDataFrame([("q", f"d{i:05}", *map(float, x)) for i, x in enumerate(s)], "query_id string, id string, a double, b double, c double, d double")
+    run = lambda **kw: {x.id: x.place for x in rankwalk.rank(rows, "query_id", "id", ["a", "b", "c", "d"], steps=1, **kw).collect()}
+    got = run(huge=100)
+    weight = rankwalk.walk(np.zeros(len(s), int), s, steps=1)
+    assert (weight > weight[-1]).sum() > 2_000
+    assert got["d30000"] == 1 and got == run()
+
+
+def test_merged_runs_put_every_dominant_set_first():
+    r = np.random.default_rng(6)
+    sets = 0
+    for _ in range(100):
+        s = r.integers(0, 12, (60, 4)).astype(float)
+        s[:7] += r.choice([0, 9], (7, 4), p=[0.2, 0.8])
+        s = s[r.permutation(60)]
+        wins = ((s[:, None] > s[None]).sum(2) >= 3).sum(1)
+        order = rankwalk.settle(s, block=4)
+        for m in range(1, 60):
+            best = np.argsort(-wins, kind="stable")[:m]
+            if ((s[best][:, None] > np.delete(s, best, 0)[None]).sum(2) >= 3).all():
+                assert set(order[:m]) == set(best)
+                sets += 1
+    assert sets > 20
