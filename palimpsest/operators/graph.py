@@ -25,15 +25,31 @@ def memberships(pool: DataFrame, part: str) -> DataFrame:
     return ties[0].unionByName(ties[1]).unionByName(ties[2]).distinct()
 
 
-def edges(pool: DataFrame, part: str, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
-    """(pairs(part, src, dst, kind, weight), hubs(part, kind, key, id, weight)): pairs with src < dst, once for each kind."""
+def _in_blocks(sized: DataFrame, part: str, block: int) -> DataFrame:
+    """(part, src, dst, kind) of all pairs of members of sized(part, kind, key, id, n); a large group's pairs of blocks of
+    about `block` members meet in rows of their own."""
+    b = sized.withColumn("of", F.ceil(F.col("n") / block)).withColumn("b", F.pmod(F.xxhash64("id"), F.col("of")))
+    left = b.select(part, "kind", "key", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("of") - 1)).alias("j"), F.col("id").alias("x"))
+    right = b.select(part, "kind", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("id").alias("y"))
+    both = left.join(right, [part, "kind", "key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return both.select(part, F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "kind")
+
+
+def edges(pool: DataFrame, part: str, bound: int | None = BOUND) -> tuple[DataFrame, DataFrame]:
+    """(pairs(part, src, dst, kind, weight), hubs(part, kind, key, id, weight)): pairs with src < dst, once for each kind.
+
+    Without a bound all groups give their pairs, in blocks, and there are no hubs.
+    """
     m = memberships(pool, part)
     size = m.groupBy(part, "kind", "key").agg(F.count(F.lit(1)).alias("n"))
     sized = m.join(size.where(F.col("n") > 1), [part, "kind", "key"])
     weight = F.element_at(F.create_map(*[x for k, v in V.EDGE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
-    small = sized.where(F.col("n") <= bound)
-    both = small.select(part, "kind", "key", F.col("id").alias("src")).join(small.select(part, "kind", "key", F.col("id").alias("dst")), [part, "kind", "key"]).where(F.col("src") < F.col("dst"))
-    tied = both.select(part, "src", "dst", "kind")
+    if bound is None:
+        tied, large = _in_blocks(sized, part, BOUND), sized.where(F.lit(False))
+    else:
+        small, large = sized.where(F.col("n") <= bound), sized.where(F.col("n") > bound)
+        both = small.select(part, "kind", "key", F.col("id").alias("src")).join(small.select(part, "kind", "key", F.col("id").alias("dst")), [part, "kind", "key"]).where(F.col("src") < F.col("dst"))
+        tied = both.select(part, "src", "dst", "kind")
     ids = pool.select(part, "id")
     sup = pool.where(F.col("supersededBy").isNotNull()).select(part, F.col("id").alias("a"), F.lower(F.trim("supersededBy")).alias("b")).join(ids.withColumnRenamed("id", "b"), [part, "b"]).where(F.col("a") != F.col("b"))
     superseding = sup.select(part, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("supersede").alias("kind"))
@@ -41,7 +57,7 @@ def edges(pool: DataFrame, part: str, bound: int = BOUND) -> tuple[DataFrame, Da
     near = pool.withColumn("episode", (F.col("layer") == "L0") & (F.col("kind") == "episodic")).select(part, "id", "turn", "episode").withColumns({"to": F.lead("id").over(w), "to_episode": F.lead("episode").over(w)})
     adjacent = near.where(F.col("episode") & F.col("to_episode")).select(part, F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst"), F.lit("adjacent").alias("kind"))
     pairs = tied.unionByName(superseding).unionByName(adjacent).distinct().withColumn("weight", weight)
-    return pairs, sized.where(F.col("n") > bound).select(part, "kind", "key", "id").withColumn("weight", weight)
+    return pairs, large.select(part, "kind", "key", "id").withColumn("weight", weight)
 
 
 def spread(pairs: DataFrame, hubs: DataFrame, seeds: DataFrame, part: str, hops: int = 2) -> DataFrame:

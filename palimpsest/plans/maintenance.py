@@ -122,7 +122,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(store(spark, sf_dir), "scope")[0].select("scope", "src", "dst", "kind", "weight")
+    return graph.edges(store(spark, sf_dir), "scope", None)[0].select("scope", "src", "dst", "kind", "weight")
 
 
 def _pool_graph(spark: SparkSession, sf_dir: str):

@@ -104,3 +104,13 @@ def test_graph_energy(spark):
     assert {(r.src, r.dst, r.kind) for r in pairs.collect()} == {("a", "b", "supersede"), ("a", "b", "adjacent")}
     seeds = frame(spark, [("p", "a", 1.0)], "part string, id string, energy double")
     assert [(r.id, round(r.energy, 6)) for r in graph.spread(pairs, hubs, seeds, "part").collect()] == [("b", round(0.5 * 1.3, 6))]
+
+
+def test_edges_of_a_group_above_the_bound(spark, monkeypatch):
+    from palimpsest.plans import maintenance
+
+    n = 2 * graph.BOUND + 1
+    rows = [("p", f"m{i:04}", i, "L1", "semantic", "task", None, None, ["s"] if i < 3 else None, None) for i in range(n)]
+    monkeypatch.setattr(maintenance, "store", lambda *_: pool(spark, rows).withColumnRenamed("part", "scope"))
+    got = maintenance.graph_edges(spark, "").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("d"), F.count_if(F.col("src") < F.col("dst")).alias("up")).collect()
+    assert {(r.kind, r.n, r.d, r.up) for r in got} == {("task", *[n * (n - 1) // 2] * 3), ("source", 3, 3, 3)}
