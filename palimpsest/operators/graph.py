@@ -2,7 +2,8 @@
 
 Records are tied by what they share: a task, a file, a source. Groups up to `bound` members give an edge for each pair;
 larger ones a hub node of their own, so a group of a third of all rows stays linear: activation passes through the hub
-with the pair's weight and what a member sent comes off its own share.
+with the pair's weight and what a member sent comes off its own share. Records that share several keys of a kind are
+tied once: activation passes between sets of large keys that have one in common, not through each key by itself.
 """
 
 from __future__ import annotations
@@ -35,10 +36,16 @@ def _in_blocks(sized: DataFrame, part: str, block: int) -> DataFrame:
     return both.select(part, F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "kind")
 
 
+def _key_sets(hubs: DataFrame, part: str) -> DataFrame:
+    """(part, kind, id, keys, weight): the large keys of each record."""
+    return hubs.groupBy(part, "kind", "id").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first("weight").alias("weight"))
+
+
 def edges(pool: DataFrame, part: str, bound: int | None = BOUND) -> tuple[DataFrame, DataFrame]:
     """(pairs(part, src, dst, kind, weight), hubs(part, kind, key, id, weight)): pairs with src < dst, once for each kind.
 
-    Without a bound all groups give their pairs, in blocks, and there are no hubs.
+    Pairs that share a large key as well are left to its hub. Without a bound all groups give their pairs, in blocks, and
+    there are no hubs.
     """
     m = memberships(pool, part)
     size = m.groupBy(part, "kind", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +56,10 @@ def edges(pool: DataFrame, part: str, bound: int | None = BOUND) -> tuple[DataFr
     else:
         small, large = sized.where(F.col("n") <= bound), sized.where(F.col("n") > bound)
         both = small.select(part, "kind", "key", F.col("id").alias("src")).join(small.select(part, "kind", "key", F.col("id").alias("dst")), [part, "kind", "key"]).where(F.col("src") < F.col("dst"))
-        tied = both.select(part, "src", "dst", "kind")
+        sets = _key_sets(large.withColumn("weight", weight), part)
+        of = lambda end: sets.select(part, "kind", F.col("id").alias(end), F.col("keys").alias(f"{end}_keys"))
+        own = both.select(part, "src", "dst", "kind").join(of("src"), [part, "kind", "src"], "left").join(of("dst"), [part, "kind", "dst"], "left")
+        tied = own.where(~F.coalesce(F.arrays_overlap("src_keys", "dst_keys"), F.lit(False))).select(part, "src", "dst", "kind")
     ids = pool.select(part, "id")
     sup = pool.where(F.col("supersededBy").isNotNull()).select(part, F.col("id").alias("a"), F.lower(F.trim("supersededBy")).alias("b")).join(ids.withColumnRenamed("id", "b"), [part, "b"]).where(F.col("a") != F.col("b"))
     superseding = sup.select(part, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("supersede").alias("kind"))
@@ -65,13 +75,17 @@ def spread(pairs: DataFrame, hubs: DataFrame, seeds: DataFrame, part: str, hops:
 
     seeds(part, id, energy). Each hop passes half of the energy times the edge's weight; what arrives is summed up.
     """
+    sets = cut(_key_sets(hubs, part))
+    each = sets.select(part, "kind", "keys").distinct().withColumn("key", F.explode("keys"))
+    meets = cut(each.join(each.withColumnRenamed("keys", "to"), [part, "kind", "key"]).select(part, "kind", "keys", "to").distinct())
     out = pairs.select(part, F.col("src").alias("id"), F.col("dst").alias("to"), "weight").unionByName(pairs.select(part, F.col("dst").alias("id"), F.col("src").alias("to"), "weight"))
     frontier, total = seeds.select(part, "id", "energy"), None
     for _ in range(hops):
         direct = frontier.join(out, [part, "id"]).select(part, F.col("to").alias("id"), (F.col("energy") * F.col("weight") * V.SPREAD_DECAY).alias("gain"))
-        sent = hubs.join(frontier, [part, "id"], "left").withColumn("own", F.coalesce("energy", F.lit(0.0)))
-        sums = sent.groupBy(part, "kind", "key").agg(F.sum("own").alias("all"))
-        through = sent.join(sums, [part, "kind", "key"]).select(part, "id", ((F.col("all") - F.col("own")) * F.col("weight") * V.SPREAD_DECAY).alias("gain")).where(F.col("gain") > 0)
+        sent = sets.join(frontier, [part, "id"], "left").withColumn("own", F.coalesce("energy", F.lit(0.0)))
+        sums = sent.where(F.col("own") > 0).groupBy(part, "kind", "keys").agg(F.sum("own").alias("sum"))
+        arrived = meets.join(sums, [part, "kind", "keys"]).groupBy(part, "kind", F.col("to").alias("keys")).agg(F.sum("sum").alias("all"))
+        through = sent.join(arrived, [part, "kind", "keys"]).select(part, "id", ((F.col("all") - F.col("own")) * F.col("weight") * V.SPREAD_DECAY).alias("gain")).where(F.col("gain") > 0)
         frontier = cut(direct.unionByName(through).groupBy(part, "id").agg(F.sum("gain").alias("energy")))
         total = frontier if total is None else total.unionByName(frontier)
     reached = total.groupBy(part, "id").agg(F.sum("energy").alias("energy")).join(seeds.select(part, "id"), [part, "id"], "left_anti")

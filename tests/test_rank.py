@@ -114,3 +114,14 @@ def test_edges_of_a_group_above_the_bound(spark, monkeypatch):
     monkeypatch.setattr(maintenance, "store", lambda *_: pool(spark, rows).withColumnRenamed("part", "scope"))
     got = maintenance.graph_edges(spark, "").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("d"), F.count_if(F.col("src") < F.col("dst")).alias("up")).collect()
     assert {(r.kind, r.n, r.d, r.up) for r in got} == {("task", *[n * (n - 1) // 2] * 3), ("source", 3, 3, 3)}
+
+
+def test_hubs_tie_records_with_several_common_keys_once(spark):
+    r = random.Random(8)
+    sources = lambda i: [f"s{k}" for k in range(3) if (i + k) % 2 or i < 3] + [f"t{i // 2}"]
+    rows = [("p", f"m{i:02}", i, "L1", "semantic", None, f"f{i % 5}", r.sample(["f0", "f1", "f2", "g"], 2), sources(i), None) for i in range(14)]
+    p = pool(spark, rows)
+    seeds = frame(spark, [("p", "m01", 0.2), ("p", "m08", 0.1)], "part string, id string, energy double")
+    run = lambda bound: {(x.id, round(x.energy, 9), x.place) for x in graph.spread(*graph.edges(p, "part", bound), seeds, "part").collect()}
+    want = run(500)
+    assert len(want) == 4 and run(1) == run(2) == run(4) == want == run(None)
