@@ -73,7 +73,7 @@ def persona(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consolidation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = store(spark, sf_dir)
     used = r.select(F.explode(F.coalesce("consolidated", "sourceRefs")).alias("ref")).select(ref_key(F.col("ref")).alias("id")).where(F.col("id").isNotNull()).distinct()
-    return maintain.consolidation_candidates(r, used, _folded(spark, sf_dir), most=5).select("scope", "id", "priority", "place")
+    return maintain.consolidation_candidates(r, used, _folded(spark, sf_dir)).select("scope", "id", "priority", "place")
 
 
 def deep_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

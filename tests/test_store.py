@@ -150,3 +150,14 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     got = {r.scope: (r.turns, r.newest) for r in events.collect_updates(events.clocks(stream()), f"file://{tmp_path}/c", ["scope"], "turns").collect()}
     assert got == {"s": (6, 6), "t": (3, 9)}
+
+
+def test_forty_candidates_of_a_scope(spark, monkeypatch):
+    from palimpsest.plans import maintenance
+
+    rows = [(f"m{i:02}", "s", "x", i, None, None, None, None, None, None, None) for i in range(45)]
+    store = spark.createDataFrame(rows, "id string, scope string, content string, turn bigint, accessLog array<bigint>, category string, supersededBy string, archived boolean, origin string, consolidated array<string>, sourceRefs array<string>")
+    monkeypatch.setattr(maintenance, "store", lambda *_: store)
+    monkeypatch.setattr(maintenance, "_folded", lambda *_: spark.createDataFrame([], "id string, extra array<bigint>"))
+    got = maintenance.consolidation_candidates(spark, "").collect()
+    assert {(r.place, r.id) for r in got} == {(k, f"m{45 - k:02}") for k in range(1, 41)}
