@@ -13,21 +13,27 @@ SEP = "\x1f"
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kind, id, key, parent) of every record and note; keys are prefixed by kind, so a parent is of its child's kind."""
+    """(name, key, asked, parent) of every record and note: its own name and key, and those of what it names. All are prefixed by
+    kind, so a parent is of its child's kind."""
     r = records(spark, sf_dir, ["id", "supersededBy", "ingested_at"]).select(F.lit("record").alias("kind"), "id", F.col("supersededBy").alias("ref"))
     n = notes(spark, sf_dir, ["id", "supersedes", "ingested_at"]).select(F.lit("note").alias("kind"), "id", F.col("supersedes").alias("ref"))
-    both = r.unionByName(n)
-    return both.select("kind", "id", F.concat("kind", F.lit(SEP), ref_key(F.col("id"))).alias("key"), F.concat("kind", F.lit(SEP), ref_key(F.col("ref"))).alias("parent")).where(F.col("key").isNotNull())
+    of = lambda c, name: F.concat("kind", F.lit(SEP), c).alias(name)
+    return r.unionByName(n).select(of(F.col("id"), "name"), of(ref_key(F.col("id")), "key"), of(F.col("ref"), "asked"), of(ref_key(F.col("ref")), "parent"))
 
 
-def _resolved(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Nodes are named by their stored id (of several spellings of one key the smallest), behind the kind."""
-    nodes = _nodes(spark, sf_dir)
-    named = nodes.groupBy("key").agg(F.concat(F.first("kind"), F.lit(SEP), F.min("id")).alias("name"))
-    asks = nodes.where(F.col("parent").isNotNull()).groupBy("key").agg(F.min("parent").alias("parent"))
+def _links(nodes: DataFrame) -> DataFrame:
+    """(node, parent) by stored ids; of several ids of one key a link goes to the one spelled as the link is, else to the smallest."""
+    named = nodes.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("parent")).agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n"))
     # Only linked nodes take part; ids travel once, with the link.
-    links = asks.join(named, "key").select(F.col("name").alias("node"), F.col("parent").alias("pkey")).join(named.select(F.col("key").alias("pkey"), F.col("name").alias("parent")), "pkey").select("node", "parent")
-    return hierarchy.resolve(links, **kw)
+    found = nodes.where(F.col("parent").isNotNull()).select(F.col("name").alias("node"), "asked", "parent").join(named, "parent")
+    exact = nodes.select(F.col("name").alias("asked"), F.col("name").alias("exact"))
+    several = found.where(F.col("n") > 1).join(exact, "asked", "left").select("node", F.coalesce("exact", "first").alias("parent"))
+    return found.where(F.col("n") == 1).select("node", F.col("first").alias("parent")).unionByName(several)
+
+
+def _resolved(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Nodes are named by their stored id, behind the kind."""
+    return hierarchy.resolve(_links(_nodes(spark, sf_dir)), **kw)
 
 
 def _bare(c: str):

@@ -47,3 +47,15 @@ def test_orphans(spark):
     got = {(r.field, r.key, r.period, r.n, r.reason) for r in orphans.orphan_keys(children, parents).collect()}
     assert got == {("f", "a", "2025-01", 1, "late"), ("f", "b", "2025-01", 2, "missing"), ("g", "a", "2025-01", 1, "deleted"), ("g", "c", None, 1, "missing")}
     assert orphans.orphan_keys(children.limit(0), parents).count() == 0
+
+
+def test_spellings_of_an_id_are_nodes_of_their_own(spark, tmp_path):
+    from palimpsest.plans import integrity
+
+    rows = [("A", "root"), ("a", None), ("a#c1", "ROOT "), ("root", None), ("x", "a"), ("y", " a"), ("z", "A#c7"), ("lone", "nowhere")]
+    at = "timestamp'2025-01-01'"
+    spark.createDataFrame(rows, "id string, ref string").selectExpr("1 schema", "id", "ref supersededBy", f"{at} ingested_at").write.parquet(f"{tmp_path}/memory_record.parquet")
+    spark.createDataFrame([("a", "x"), ("n", "A")], "id string, ref string").selectExpr("1 schema", "id", "ref supersedes", f"{at} ingested_at").write.parquet(f"{tmp_path}/note_record.parquet")
+    got = sorted((r.id, r.root_id, r.depth) for r in integrity.p3_found(spark, str(tmp_path)).collect())
+    records = [("A", "root", 1), ("a#c1", "root", 1), ("root", "root", 0), ("x", "a", 1), ("a", "a", 0), ("y", "root", 2), ("z", "root", 2)]
+    assert got == sorted([*records, ("n", "a", 1), ("a", "a", 0)])
