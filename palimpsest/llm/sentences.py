@@ -28,7 +28,6 @@ FIT_TEXTS, FIT_CHARS = 4_000, 8_000
 MARKS = ".!?…。！？।؟۔"
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“”", "‘": "’", "《": "》", "〈": "〉"}
 CLOSERS = ")]}）】」』»”“’》〉\""
-DEPTH = 32
 ROLES = ("user", "assistant", "system", "tool", "human", "developer", "agent", "function")
 TODO = "○◐✓✗☐☑☒✔✘●"
 _EDGE = " \t\r\n\v\f\x1c\x1d\x1e\x1f\x85\xa0                　﻿"
@@ -81,11 +80,22 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Outermost (start, end) of quotations, brackets and code; openers without a closer are none.
-
-    A closer is held against the last DEPTH open ones.
-    """
+    """Outermost (start, end) of quotations, brackets and code; openers without a closer are none."""
     found, stack = [], []
+    closes: dict[str, list[int]] = {c: [] for c in CLOSERS}  # where in the stack is what each sign closes
+
+    def push(at: int, signs: str) -> None:
+        for s in signs:
+            closes[s].append(len(stack))
+        stack.append((at, signs))
+
+    def close(sign: str, end: int) -> None:
+        at = closes[sign][-1]
+        found.append((stack[at][0], end))
+        while len(stack) > at:
+            for s in stack.pop()[1]:
+                closes[s].pop()
+
     i, n = 0, len(text)
     while i < n:
         c = text[i]
@@ -95,19 +105,15 @@ def spans(text: str) -> list[tuple[int, int]]:
                 found.append((i, j + 1))
                 i = j + 1
                 continue
-        elif c == '"' and not (i and text[i - 1].isdigit() and not any(x[1] == '"' for x in stack[-DEPTH:])):
-            if any(x[1] == '"' for x in stack[-DEPTH:]):
-                while stack[-1][1] != '"':
-                    stack.pop()
-                found.append((stack.pop()[0], i + 1))
+        elif c == '"' and (closes[c] or not (i and text[i - 1].isdigit())):
+            if closes[c]:
+                close(c, i + 1)
             else:
-                stack.append((i, '"'))
-        elif c in CLOSERS and any(c in x[1] for x in stack[-DEPTH:]) and not (c == "’" and i + 1 < n and text[i + 1].isalpha()):
-            while c not in stack[-1][1]:
-                stack.pop()
-            found.append((stack.pop()[0], i + 1))
+                push(i, c)
+        elif c in CLOSERS and closes[c] and not (c == "’" and i + 1 < n and text[i + 1].isalpha()):
+            close(c, i + 1)
         elif c in OPENERS:
-            stack.append((i, OPENERS[c]))
+            push(i, OPENERS[c])
         i += 1
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):

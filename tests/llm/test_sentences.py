@@ -56,3 +56,11 @@ def test_frame(spark, model):
     assert {(r.number, r.sentence) for r in s.units(df, "doc_id", "text", model).where("doc_id = 1").collect()} == {(0, "x"), (0, "One is here."), (1, "Two is there.")}
     empty = s.fitted(df.limit(0), "doc_id", "text")
     assert s.split(df.limit(0), "doc_id", "text", empty).count() == 0
+
+
+def test_outer_closer_after_many_open_ones():
+    for a, b in ("“”", "()", '""'):
+        inner = "[" if a == "(" else "("
+        text = f"x {a}{inner * 100} One. Two.{b} End."
+        assert s.spans(text) == [(2, text.index(b, 3) + 1)]
+    assert s.spans("(" * 5_000 + ")" * 5_000) == [(0, 10_000)]
