@@ -181,9 +181,9 @@ class Field:
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the finds of each text. Texts are cut at line ends, and lines decoded in batches of like length."""
-        lines = [(t, a, line) for t, text in enumerate(texts) for a, line in _lines(text)]
+        lines = [(t, a, line, first, end) for t, text in enumerate(texts) for a, line, first, end in _lines(text)]
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        toks = [tokens(line) for *_, line in lines]
+        toks = [tokens(x[2]) for x in lines]
         order = sorted((i for i in range(len(lines)) if toks[i][0]), key=lambda i: len(toks[i][0]))
         while order:  # no more than a quarter of a batch is padding
             most = 16 + len(toks[order[0]][0]) * 5 // 4
@@ -191,23 +191,33 @@ class Field:
             some, order = order[:n], order[n:]
             paths = viterbi(*self.scores([lines[i][2] for i in some], [toks[i] for i in some]), self.trans)
             for i, path in zip(some, paths, strict=True):
-                t, a, line = lines[i]
-                found[t] += [(a + x, a + y, k) for x, y, k in spans_of(line, toks[i], path)]
-        return [sorted(f) for f in found]
+                t, a, line, first, end = lines[i]
+                found[t] += [(a + x, a + y, k) for x, y, k in spans_of(line, toks[i], path) if first <= a + x < end]
+        return [_apart(sorted(f)) for f in found]
 
 
-def _lines(text: str, most: int = 20_000) -> Iterator[tuple[int, str]]:
-    """Lines; those beyond `most` characters in parts that end at a blank after a mark, so that no find is cut."""
+def _lines(text: str, most: int = 20_000, overlap: int = 600) -> Iterator[tuple[int, str, int, int]]:
+    """(start, line, first, end): lines; those beyond `most` characters in parts that overlap. A find counts in the part in
+    whose range from first to end it begins, so one of up to half the overlap lies whole in its part, with text around it."""
     at = 0
     for line in text.split("\n"):
-        a = at
-        while len(line) > most:
-            cut = max((m.end() for m in re.finditer(r"[.!?;。！？；]\s", line[:most])), default=0) or line.rfind(" ", 1, most) + 1 or most
-            yield a, line[:cut]
-            a, line = a + cut, line[cut:]
-        if line.strip():
-            yield a, line
-        at = a + len(line) + 1
+        a = first = 0
+        while len(line) - a > most:
+            middle = a + most - overlap // 2
+            yield at + a, line[a : a + most], at + first, at + middle
+            a, first = a + most - overlap, middle
+        if line[a:].strip():
+            yield at + a, line[a:], at + first, at + len(line)
+        at += len(line) + 1
+
+
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Without the rest of a find that the part before has whole."""
+    out: list[tuple[int, int, str]] = []
+    for f in found:
+        if not out or f[0] >= out[-1][1]:
+            out.append(f)
+    return out
 
 
 def viterbi(flat: np.ndarray, size: np.ndarray, trans: np.ndarray) -> list[np.ndarray]:

@@ -57,3 +57,14 @@ def test_frame(spark, field):
     texts = {(r.id, r.text, r.n_finds) for r in pii.redact(df, "id", "content", field).collect()}
     assert texts == {("a", "Call me on [PHONE] after six.", 1), ("c", "", 0), (None, "My mail is [EMAIL] now.", 1), ("a", "Nothing.", 0)}
     assert pii.find(df.limit(0), "id", "content", field).count() == 0
+
+
+def test_finds_across_a_cut_of_a_long_line(field):
+    for shift in range(0, 64, 3):  # the parts of the line end at other places of the name and of the number
+        filler = ("the reports were filed and " * 2000)[: 19_960 + shift - 20]
+        text = filler + " then please ask Greta Kettelrup to call me on +44 20 7946 0321 after six " + filler
+        got = {(k, pii.value(text[a:b])) for a, b, k in field.decode([text])[0]}
+        assert got == {("name", "gretakettelrup"), ("phone", "442079460321")}
+    parts = list(pii._lines("x" * 50_000 + "\n\nlast"))
+    assert [(first, end) for *_, first, end in parts] == [(0, 19_700), (19_700, 39_100), (39_100, 50_000), (50_002, 50_006)]
+    assert all(a <= first and end <= a + len(line) for a, line, first, end in parts)
