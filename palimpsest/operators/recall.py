@@ -137,27 +137,28 @@ def contrasts(rows: DataFrame, first: int = 20, least: float = 0.5, most: int =
     return top.groupBy("query_id").applyInPandas(pick, "query_id string, id_a string, id_b string, only_a string, only_b string")
 
 
-def suppressed(rows: DataFrame, similarity: float = 0.9, first: int = 40) -> DataFrame:
-    """(query_id, id, pos) of the first rows that repeat no earlier kept row of their session: rows(query_id, pos, id, trace, vec)."""
+def suppressed(rows: DataFrame, similarity: float = 0.9) -> DataFrame:
+    """(query_id, id, pos) of the rows that stay: an L0 row that repeats an earlier kept L0 row of its session goes, all others
+    are kept: rows(query_id, pos, id, layer, trace, vec)."""
     import numpy as np
     import pandas as pd
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         kept: list[int] = []
-        for i, (t, v) in enumerate(zip(pdf["trace"], pdf["vec"], strict=True)):
-            v = None if v is None else np.asarray(v, float)
-            close = False
-            for j in kept:
-                u = pdf["vec"].iloc[j]
-                if t is not None and v is not None and u is not None and t == pdf["trace"].iloc[j] and len(u) == len(v):
-                    norm = np.linalg.norm(u) * np.linalg.norm(v)
-                    close = close or (norm > 0 and float(np.dot(u, v)) / norm >= similarity)
-            if not close:
-                kept.append(i)
+        taken: dict[tuple, list] = {}  # kept L0 vectors by session and length
+        for i, (layer, t, v) in enumerate(zip(pdf["layer"], pdf["trace"], pdf["vec"], strict=True)):
+            if layer == "L0" and t is not None and v is not None:
+                v = np.asarray(v, float)
+                others, norm = taken.setdefault((t, len(v)), []), np.linalg.norm(v)
+                if norm > 0:
+                    if any(float(np.dot(u, v)) / (n * norm) >= similarity for u, n in others):
+                        continue
+                    others.append((v, norm))
+            kept.append(i)
         return pdf.iloc[kept][["query_id", "id", "pos"]]
 
-    return rows.where(F.col("pos") <= first).groupBy("query_id").applyInPandas(keep, "query_id string, id string, pos int")
+    return rows.groupBy("query_id").applyInPandas(keep, "query_id string, id string, pos int")
 
 
 def clusters(rows: DataFrame, cosine: float = 0.55, shared: int = 3, least: int = 3, most: int = 8) -> DataFrame:

@@ -66,7 +66,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.suppressed(_ranked(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left").select("query_id", "id", "pos", "trace", "vec"))
+    return recall.suppressed(_ranked(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left").select("query_id", "id", "pos", "layer", "trace", "vec"))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

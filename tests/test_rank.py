@@ -125,3 +125,10 @@ def test_hubs_tie_records_with_several_common_keys_once(spark):
     run = lambda bound: {(x.id, round(x.energy, 9), x.place) for x in graph.spread(*graph.edges(p, "part", bound), seeds, "part").collect()}
     want = run(500)
     assert len(want) == 4 and run(1) == run(2) == run(4) == want == run(None)
+
+
+def test_only_evidence_is_suppressed_at_any_place(spark):
+    rows = [("q", k, f"far{k}", "L0", f"s{k}", [1.0, 0.0]) for k in range(1, 41)]
+    rows += [("q", 41, "kept", "L0", "s", [1.0, 0.0]), ("q", 42, "card", "L1", "s", [1.0, 0.0]), ("q", 43, "repeat", "L0", "s", [2.0, 0.1]), ("q", 44, "other", "L0", "s", [0.0, 1.0]), ("q", 45, "more", "L2", "s", [0.0, 1.0]), ("q", 46, "none", "L0", "s", None)]
+    got = recall.suppressed(frame(spark, rows, "query_id string, pos int, id string, layer string, trace string, vec array<double>")).orderBy("pos").collect()
+    assert [r.id for r in got] == [*(f"far{k}" for k in range(1, 41)), "kept", "card", "other", "more", "none"]
