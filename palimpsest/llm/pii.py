@@ -2,53 +2,175 @@
 
 A linear-chain conditional random field labels the tokens of a text: begin or inside of an email address, phone number,
 identity number, street address or personal name, or none. Its features are word shapes: of the token and its
-neighbours, of the whole run of digits and separators it stands in, and of the words before that run; for names also the
-lexicon's roles. It is trained on a small labelled table by forward-backward, and decoded by Viterbi over batches of
+neighbours, of the whole run of digits and separators it stands in, kinds of cue words around that run; for names also
+the lexicon's roles. It is trained on a small labelled table by forward-backward, and decoded by Viterbi over batches of
 texts in numpy. Found spans are then held against the least that a find of their kind must have.
+
+Where no find can be by that check (no long run of digits, no mail sign, no capitals in a row, no road with a number,
+no name of the lexicon) the label is none by definition. A chain through such tokens falls apart into independent
+parts, so only the regions between them are scored, with the words around them as context, in training as in decoding.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import hashlib
 import random
 import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import labelled
-from palimpsest.runtime import spread
+from palimpsest.runtime import shared_dir, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 WINDOW = 3
-#: Bounds of the sample of texts without any find-like part that are added to training as negatives.
-QUIET_TEXTS, QUIET_CHARS = 1_500, 2_000
+#: In training: the size of a table (labelled.SHARE times this), the tables' seeds; the share of sequences with new words, that of the new among their words, that of sequences for which the lexicon is used.
+SCALE, SEEDS, STRANGE = 1.6, (11, 12), (0.65, 0.85, 0.65)
+#: Characters around a region that are its context, and of them those in which cue words are looked for.
+LEFT, RIGHT, CUE_LEFT, CUE_RIGHT = 64, 40, 44, 26
+#: Most tokens, padding included, that are decoded at once, and words whose scores are kept.
+BATCH_TOKENS, KNOWN_WORDS = 1 << 15, 60_000
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W\d_㐀-鿿぀-ヿ]+|\d+|\n+|[^\w\s]|_")
-_RUN = re.compile(r"(?:\b[A-Za-z]{1,2}[ -]?(?=\d))?[+(]?\d[\d ().-]*\d(?:[ -]?[A-Za-z]\b)?|\d")
+_MIXED = r"[A-Z](?<![A-Za-z0-9][A-Z])(?=[A-Z0-9]{7,11}(?![A-Za-z0-9]))[A-Z0-9]*\d[A-Z0-9]*\d[A-Z0-9]*\d[A-Z0-9]*\d[A-Z0-9]*|\d{1,3}[A-Z]{1,3}\d{4,8}(?![A-Za-z0-9])(?<![A-Za-z0-9]{13})"
+#: Letters that open or close a number: apart from it only capitals, or two small ones before pairs of digits.
+_BEFORE = r"(?:(?<![A-Za-z0-9])(?:[A-Z]{1,2}[ -]?|[A-Z]{3}-?|[a-z]{1,3}|[a-z]{2}-(?=\d{3}-\d{3}-[a-z])|[a-z]{2} (?=\d\d \d\d \d\d [a-z](?![A-Za-z0-9])))(?=\d))"
+_AFTER = r"(?:(?:[ -]?[A-Z]|(?<=\d\d \d\d \d\d) [a-z]|-?[a-z])(?![A-Za-z0-9]))"
+_RUN = re.compile(rf"{_MIXED}|{_BEFORE}?[+(]?\d[\d ().\-/]*\d{_AFTER}?|\d")
 _USER, _PART = r"(?:(?![㐀-鿿])[\w.+-])+", r"(?:(?![㐀-鿿])[\w-])+"
 _MAIL = re.compile(rf"{_USER}(?: ?@ ?| ?\[at\] ?| ?\(at\) ?){_PART}(?:(?:\.|\[dot\]|\(dot\)| dot ){_PART})*(?:\.|\[dot\]|\(dot\)| dot )[A-Za-z]{{2,}}|{_USER} at {_PART}(?: dot {_PART})+", re.I)
-_AT = re.compile(r"[\[(]at[\])]| at ", re.I)
-_STREET_END = tuple("straße strasse weg allee gasse platz ring ufer damm".split())
-_ROADS = {w.lower().strip(".") for w in (*labelled.ROADS_EN, *labelled.ROADS_FR, *labelled.ROADS_ES)}
-_TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "herrn", "frau", "mme", "sr", "sra", "hr", "fr", "doctor", "miss", "sir"}
+_AT = re.compile(r"@|[\[(]at[\])]| dot ", re.I)
+_LONG_END = tuple("straße strasse gasse allee platz gatan vägen veien straat gracht plein".split())
+_STREET_END = (*_LONG_END, *"str weg ring ufer damm steig stieg laan gade vej".split())
+_ROADS = {w.lower().strip(".") for w in (*labelled.ROADS_EN, *labelled.ROADS_FR, *labelled.ROADS_ES, *labelled.ROADS_XX, *labelled.ROADS_DE)}
+_ROADS_FIRST = {w.lower().strip(".") for w in (*labelled.ROADS_FR, *labelled.ROADS_ES, *labelled.ROADS_XX)}
+_PARTICLES = set("von van de der den del della di da du la le el al bin ibn zu zur dos y ter ten".split())
+_ROADS_CAPITAL = {w.lower().strip(".") for w in labelled.ROADS_EN}
+_TITLES = {"dr", "mr", "mrs", "ms", "prof", "professor", "herr", "herrn", "frau", "mme", "sr", "sra", "hr", "fr", "doctor", "miss", "sir", "m", "captain", "monsieur", "madame", "señor", "señora"}
+_CUE: dict[str, tuple[str, ...]] = {}
+for _kind, _words in labelled.CUES.items():
+    for _word in _words.split():
+        _CUE[_word] = (*_CUE.get(_word, ()), _kind)
+
+# Where finds can be.
+_CAP = r"[A-ZÀ-ÖØ-ÞĄĆČĎĘĚĞİŁŃŇŐŘŚŞŠŤŮŰŹŻŽ][\w'’-]*"
+_SMALL = r"(?:von|van|de|der|den|del|della|di|da|du|la|le|el|al|bin|ibn|zu|zur|dos|y|ter|ten)"
+# Patterns begin with the rarest sign, so that a scan is one search for it; what may stand before is looked at where one is found.
+_LONG = re.compile(rf"\d(?:[ ().\-/]{{0,3}}\d){{5,}}{_AFTER}?")
+_LONG_LEFT = re.compile(r"(?:(?<![A-Za-z0-9])(?:[A-Z]{1,2}[ -]?|[A-Z]{3}-?|[a-z]{1,3}))?[+(]{0,2}$")
+_SMALL_PAIR = re.compile(r"(?<![A-Za-z0-9])[a-z]{2}[ -]$")
+_CAPITAL = "A-ZÀ-ÖØ-ÞĄĆČĎĘĚĞİŁŃŇŐŘŚŞŠŤŮŰŹŻŽ"
+_NAMES = re.compile(rf"[{_CAPITAL}](?<![^\W_][{_CAPITAL}])[\w'’-]*(?:[ ,.&-]{{1,3}}(?:{_SMALL}[ -]){{0,3}}(?:[dl]['’]|al-)?{_CAP})+")
+_NAMES_LEFT = re.compile(rf"(?:(?<![\w]){_SMALL} )?(?:(?<![\w])(?:[dl]['’]|al-))?$")
+_HAN, _MIXED_RUN = re.compile("[㐀-鿿]"), re.compile(_MIXED)
+_NUMBERED = re.compile(r"[㐀-鿿]{2,14}\d{1,5}号")
+_BORN = re.compile(r"\d{6}(?:19|20)\d\d[01]\d[0-3]\d{4}[\dXx]")
+_DATE = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?![-\d])")
+# Around a road's word: a number before it, or one after it, with the words between.
+_NUMBER = r"\d{1,4}(?:-\d{1,4})?(?:[A-Za-z]?(?![A-Za-z0-9])(?: (?:bis|ter|[A-Za-z])(?![A-Za-z0-9]))?)"
+_NUMBER_LEFT = re.compile(rf"(?<![A-Za-z0-9.]){_NUMBER},?(?: [\w'’.-]+){{0,4}} ?$")
+_WORDS_LEFT, _WORDS_RIGHT = re.compile(r"(?:[^\W\d_][\w'’.-]* ){0,3}$"), re.compile(r"\.?(?: [^\W\d_][\w'’.-]*){0,4}")
+_NUMBER_RIGHT = re.compile(rf"\.?(?: [^\W\d_][\w'’.-]*){{0,4}},? (?:n\.?º ?|nr\. ?|no\. ?)?{_NUMBER}")
 
 
 class Lexicon:
     """Roles of lower-cased name parts; family names of one Han character apart."""
 
     def __init__(self, rows: Iterable[tuple[str, str]]):
-        self.role: dict[str, str] = {}
-        for name, role in rows:
+        self.rows, self.role = list(rows), {}
+        for name, role in self.rows:
             for part in re.split(r"[\s'’-]+", name.lower()):
                 if len(part) > 1 or ord(part[:1] or " ") > 0x2E80:
                     self.role[part] = "both" if self.role.get(part, role) != role else role
+        wide = "".join(re.escape(x) for x in self.role if len(x) == 1)
+        self.han = re.compile(f"[{labelled.ZH_FAMILY}{wide}][㐀-鿿]{{1,3}}")
+        self.parts = ahocorasick.Automaton()
+        for part in _ROADS:
+            self.parts.add_word(part, (len(part), True, part in _STREET_END))
+        for part in _STREET_END:
+            self.parts.add_word(part, (len(part), True, True))
+        for part in self.role:
+            if part[0] < "\u2e80":
+                self.parts.add_word(part, (len(part), part in _ROADS or part in _STREET_END, part in _STREET_END))
+        self.parts.make_automaton()
         for part in ("von", "van", "de", "der", "d", "o"):
             self.role.setdefault(part, "particle")
 
+    def regions(self, text: str) -> list[tuple[int, int]]:
+        """The parts of a line in which finds can be, in order and apart."""
+        out = [m.span() for m in _MIXED_RUN.finditer(text)]
+        for m in _LONG.finditer(text):
+            a, b = m.span()
+            if not ((d := _DATE.match(text, a)) and sum(map(str.isdigit, text[d.end() : b])) < 6):
+                left = len(_LONG_LEFT.search(text[max(0, a - 7) : a])[0])
+                out.append((a - (3 if not left and _SMALL_PAIR.search(text[max(0, a - 4) : a]) and text[b - 2] in " -" and text[b - 1].islower() else left), b))
+        for m in _NAMES.finditer(text):
+            a, b = m.span()
+            out.append((a - len(_NAMES_LEFT.search(text[max(0, a - 9) : a])[0]) if a else 0, b))
+        if any_han := _HAN.search(text):
+            out += [m.span() for m in _NUMBERED.finditer(text, any_han.start())]
+            out += [m.span() for m in self.han.finditer(text, any_han.start())]
+        if _AT.search(text):
+            out += [m.span() for m in _MAIL.finditer(text)]
+        low = text.lower()
+        if len(low) != len(text):  # a capital whose small form is two characters
+            low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+        for end, (size, road, suffix) in self.parts.iter(low):
+            a, b = end + 1 - size, end + 1
+            if text[b : b + 1].isalpha():
+                continue
+            whole = not text[a - 1 : a].isalpha() if a else True
+            if road and (whole or suffix):
+                kept = a
+                while not whole and a and text[a - 1].isalpha():
+                    a -= 1
+                if not whole and not text[a].isupper() and not low[kept:b] in _LONG_END:
+                    continue
+                left = text[max(0, a - 56) : a]
+                if m := _NUMBER_LEFT.search(left):
+                    out.append((a - len(left) + m.start(), b + len(_WORDS_RIGHT.match(text, b)[0])))
+                elif m := _NUMBER_RIGHT.match(low, b):
+                    out.append((a - len(_WORDS_LEFT.search(left)[0]), m.end()))
+            if whole and text[a:b].islower() and low[a:b] in self.role:  # a name in small letters: with the two words around it
+                left, right = _TWO_LEFT.search(text[max(0, a - 40) : a]), _TWO_RIGHT.match(text[b : b + 40])
+                out.append((a - len(left[0]), b + len(right[0])))
+        out.sort()
+        merged: list[tuple[int, int]] = []
+        for a, b in out:
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return merged
+
+
+_TWO_LEFT, _TWO_RIGHT = re.compile(r"(?:[^\W\d_][\w'’-]*\.?,? ?){0,2}$"), re.compile(r"(?:[ ,.-]{1,2}[^\W\d_][\w'’-]*){0,2}")
+
+
+def windows(line: str, lexicon: Lexicon) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """(start, text, free parts of the text): the line's regions with their context; those with common context are one."""
+    out: list[tuple[int, int, list]] = []
+    for a, b in lexicon.regions(line):
+        left = max(0, a - LEFT)
+        if left:
+            blank = line.rfind(" ", max(0, left - 16), left)
+            left = blank + 1 if blank >= 0 else left
+        right = min(len(line), b + RIGHT)
+        if out and left <= out[-1][1]:
+            out[-1] = (out[-1][0], right, [*out[-1][2], (a, b)])
+        else:
+            out.append((left, right, [(a, b)]))
+    return [(left, line[left:right], [(a - left, b - left) for a, b in free]) for left, right, free in out]
+
 
 def shape(w: str) -> str:
     c = w[0]
@@ -61,64 +183,153 @@ def shape(w: str) -> str:
     return "\n" if c == "\n" else c
 
 
-def word_features(w: str, lexicon: Lexicon) -> list[str]:
-    low = w.lower()
-    out = ["s" + shape(w)]
+def word_features(w: str, lexicon: Lexicon, known: bool = True, listed: bool = True) -> list[str]:
+    """Features of a token; without `known`, only those that words never seen before have too, and without `listed`, those of
+    a word that the lexicon lacks."""
+    low, s = w.lower(), shape(w)
+    out = ["s" + s]
     if w[0].isdigit():
-        return [*out, "w555"] if w == "555" else out
-    out.append("w" + low[:16])
-    if w[0].isalpha():
-        role = lexicon.role.get(low)
-        if role:
-            out += ["l" + role, f"l{role}{shape(w)}"]
-        if low in _ROADS:
-            out.append("road")
-        if low.endswith(_STREET_END) and len(low) > 5:
-            out.append("strasse")
-        if low in _TITLES:
-            out.append("title")
+        return out
+    role = lexicon.role.get(low)
+    if role and (listed or role == "particle"):
+        out += ["l" + role, f"l{role}{s}"]
+    elif w[0].isalpha():
+        out.append("no" + s)
+    if low in _ROADS:
+        out += ["road", "road" + s]
+    if low.endswith(_STREET_END if w[0].isupper() else _LONG_END) and len(low) > 4:
+        out.append("strasse")
+    if low in _TITLES:
+        out.append("title")
+    out += ["k" + k for k in _CUE.get(low, ())]
+    if s == "H" and low in labelled.ZH_FAMILY:
+        out.append("zhfamily")
+    if known:
+        out.append("w" + low[:16])
         if len(low) > 4:
             out.append("e" + low[-3:])
     return out
 
 
+CATEGORIES = ("", "digits", "number", "Xx", "XX", "X", "x", "x1", "xX", "han", "zhfamily", "road", "strasse", "org", "title", "person", "given", "family", "both", "particle", "cue", *",.-:'()@;[]/+<>", "\n", "sign")
+_CATEGORY = {c: i for i, c in enumerate(CATEGORIES)}
+
+
+def category(w: str, lexicon: Lexicon, listed: bool = True) -> int:
+    """What a token is, as far as the order of neighbours goes; 0 stands for no token."""
+    c, low = w[0], w.lower()
+    if c.isdigit():
+        return _CATEGORY["digits" if len(w) > 4 else "number"]
+    if not c.isalpha():
+        return _CATEGORY.get("'" if c in "’'" else c, _CATEGORY["sign"])
+    if "㐀" <= c <= "鿿":
+        return _CATEGORY["zhfamily" if c in labelled.ZH_FAMILY or (listed and lexicon.role.get(low) == "family") else "han"]
+    role = lexicon.role.get(low)
+    if role and (listed or role == "particle"):
+        return _CATEGORY[role]
+    if low in _TITLES:
+        return _CATEGORY["title"]
+    cues = _CUE.get(low, ())
+    if "org" in cues:
+        return _CATEGORY["org"]
+    if low in _ROADS:
+        return _CATEGORY["road"]
+    if low.endswith(_STREET_END if c.isupper() else _LONG_END) and len(low) > 4:
+        return _CATEGORY["strasse"]
+    if cues:
+        return _CATEGORY["person" if "person" in cues else "cue"]
+    if len(w) == 1:
+        return _CATEGORY["X" if w.isupper() else "x1"]
+    return _CATEGORY["XX" if w.isupper() else "x" if w.islower() else "Xx" if c.isupper() and w[1:].islower() else "xX"]
+
+
 def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
     words, starts, ends = [], [], []
     for m in _TOKEN.finditer(text):
         words.append(m.group())
-        starts.append(m.start())
-        ends.append(m.end())
+        a, b = m.span()
+        starts.append(a)
+        ends.append(b)
     return words, starts, ends
 
 
+def is_free(starts: list[int], free: list[tuple[int, int]]) -> np.ndarray:
+    """Which tokens begin in a free part."""
+    s = np.array(starts)
+    i = np.searchsorted([a for a, _ in free], s, side="right") - 1
+    return (i >= 0) & (s < np.array([b for _, b in free])[np.maximum(i, 0)])
+
+
+@functools.lru_cache(KNOWN_WORDS)
+def run_shapes(run: str) -> tuple[str, str, str]:
+    """Shape, kind and signs of a run."""
+    return (run_shape(run), "date" if _DATE.match(run) else "cn" if _BORN.fullmatch(run) else run_kind(run), re.sub(r"[\dA-Za-z]+", "x", run.strip())[:12])
+
+
 def run_shape(run: str) -> str:
     """Digits by their number, separators as they are: `+d2 d2 d4 d4`."""
     return "r" + re.sub(r"\d+", lambda m: f"d{min(len(m.group()), 19)}", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", run.strip())))[:40]
 
 
-def extras(text: str, words: list[str], starts: list[int]) -> list[tuple[int, tuple[str, str, str]]]:
-    """(token, (run, cue, cue)) of each token in a run of digits or a mail form: its shape and the two words before it."""
-    spans = [(m.start(), m.end(), run_shape(m.group())) for m in _RUN.finditer(text)]
-    if "@" in text or _AT.search(text):
-        mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
+def run_kind(run: str) -> str:
+    """What runs that look alike have in common: how they open, letters, number of digits, groups and signs between."""
+    groups = re.findall(r"\d+", run)
+    opener = "+" if run[:1] == "+" or run[:2] == "(+" else "(" if run[:1] == "(" else "00" if run[:2] == "00" else "0" if run[:1] == "0" else "A" if run[:1].isalpha() else "d"
+    return f"{opener}{'A' if run[-1:].isalpha() else ''}{'m' if re.search('[A-Za-z]', run[1:-1].lstrip('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')) else ''}{sum(map(len, groups))}"
+
+
+_WORDS = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+
+
+def extras(text: str, starts: list[int], ok: np.ndarray) -> list[tuple[int, tuple]]:
+    """(token, key) of each free token in a run of digits or a mail form: its shapes, the two words before it, kinds of cues around it."""
+    spans = [(*m.span(), m[0]) for m in _RUN.finditer(text)]
+    if _AT.search(text):
+        mails = [(*m.span(), "mail") for m in _MAIL.finditer(text)]
         spans = sorted(mails + [s for s in spans if not any(a < s[1] and s[0] < b for a, b, _ in mails)])
-    out, n, j = [], len(words), 0
-    last1 = last2 = "^"
-    for a, b, name in spans:
-        while j < n and starts[j] < a:
-            if words[j][0].isalpha():
-                last2, last1 = last1, words[j].lower()[:16]
-            j += 1
-        k = j
+    out, n = [], len(starts)
+    for a, b, run in spans:
+        j = k = bisect.bisect_left(starts, a)
         while k < n and starts[k] < b:
-            out.append((k, (("B" if k == j else "I") + name, last1, last2)))
             k += 1
+        if not ok[j:k].any():
+            continue
+        before = _WORDS.findall(text[max(0, a - CUE_LEFT) : a].lower())[::-1]
+        around = (*(before[:2] + ["^", "^"])[:2], tuple([x for w in before for x in _CUE.get(w, ())][:3]), tuple([x for w in _WORDS.findall(text[b : b + CUE_RIGHT].lower()) for x in _CUE.get(w, ())][:1]))
+        shapes = ("mail", "mail", "") if run == "mail" else run_shapes(run)
+        out += [(i, ("B" if i == j else "I", *shapes, *around)) for i in range(j, k) if ok[i]]
+    return out
+
+
+def extra_features(key: tuple, known: bool = True) -> list[str]:
+    at, run, kind, signs, cue1, cue2, before, after = key
+    out = [f"R{at}{run}", f"N{at}{kind}", f"N{kind[:1]}{at}", f"S{at}{signs}", f"NS{at}{kind}{signs}"]
+    out += [f"K-{k}" for k in set(before)] + [f"K+{k}" for k in after]
+    if before:
+        out += [f"K1{before[0]}", f"K1{before[0]}{kind}"]
+    else:
+        out += ["K0", f"K0{kind}"]
+    if known:
+        out += [f"C{cue1}", f"D{cue2}"]
     return out
 
 
-def extra_features(key: tuple[str, str, str]) -> list[str]:
-    run, cue1, cue2 = key
-    return [f"R{run}", f"C{cue1}", f"D{cue2}", f"RC{run[:1]}{cue1}"]
+FORBIDDEN = -1e4
+
+
+def order_keys(cats: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
+    """Of each token, the three categories that end with it, have it in their middle, and begin with it, each as one number."""
+    k, n = len(CATEGORIES), len(cats)
+
+    def near(o: int) -> np.ndarray:
+        out = np.zeros(n, int)
+        if o < 0 and -o < n:
+            out[-o:] = np.where(line[:o] == line[-o:], cats[:o], 0)
+        elif 0 < o < n:
+            out[:-o] = np.where(line[o:] == line[:-o], cats[o:], 0)
+        return cats if o == 0 else out
+
+    return [(near(o - 2) * k + near(o - 1)) * k + near(o) for o in range(3)]
 
 
 class Field:
@@ -126,7 +337,17 @@ class Field:
 
     def __init__(self, weights: dict[str, np.ndarray], trans: np.ndarray, lexicon: Lexicon):
         self.weights, self.trans, self.lexicon = weights, trans, lexicon
-        self.cache: dict[str, np.ndarray] = {}
+        k = len(CATEGORIES)
+        self.order = np.zeros((3, k * k * k, len(LABELS)), np.float32)
+        for f, w in weights.items():
+            if f[0] == "T":
+                o, key = f[1:].split(":")
+                self.order[int(o), int(key)] = w
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.rows, self.extra = {}, np.zeros((1024, 2 * WINDOW + 1, len(LABELS)), np.float32), {}
+        self.cats = np.zeros(1024, int)
 
     def _row(self, prefix: str, features: Iterable[str]) -> np.ndarray:
         out = np.zeros(len(LABELS), np.float32)
@@ -136,63 +357,72 @@ class Field:
                 out += w
         return out
 
-    def _word_rows(self, w: str) -> np.ndarray:
-        """Scores that a word gives to the labels of its neighbours, by offset."""
-        row = self.cache.get(w)
-        if row is None:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Rows of the words in `rows`: the scores that a word gives to the labels of its neighbours, by offset."""
+        known = self.known
+        for w in set(words) - known.keys():
+            i = known[w] = len(known)
+            if i == len(self.rows):
+                self.rows, self.cats = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.cats))
+            self.cats[i] = category(w, self.lexicon)
             f = word_features(w, self.lexicon)
-            row = np.stack([self._row(f"{o}:", f) for o in range(-WINDOW, WINDOW + 1)])
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[w] = row
-        return row
-
-    def _extra_row(self, key: tuple[str, str, str]) -> np.ndarray:
-        row = self.cache.get(key)
-        if row is None:
-            row = self.cache[key] = self._row("", extra_features(key))
-        return row
-
-    def scores(self, lines: list[str], toks: list[tuple[list[str], list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the labels of all tokens of all lines, one after another, and the lines' sizes."""
+            for o in range(-WINDOW, WINDOW + 1):
+                self.rows[i, o + WINDOW] = self._row(f"{o}:", f)
+        return np.array([known[w] for w in words])
+
+    def scores(self, texts: list[str], toks: list[tuple[list[str], list[int], list[int]]], free: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the labels of all tokens of all windows, one after another, and their sizes."""
+        if len(self.known) > KNOWN_WORDS or len(self.extra) > KNOWN_WORDS:
+            self._forget()
         size = np.array([len(t[0]) for t in toks])
-        vocabulary: dict[str, int] = {}
-        word = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in toks for w in t[0]])
-        rows = np.stack([self._word_rows(w) for w in vocabulary])
-        line = np.repeat(np.arange(len(lines)), size)
+        word = self._numbers([w for t in toks for w in t[0]])
+        line, at = np.repeat(np.arange(len(toks)), size), np.flatnonzero(np.concatenate(free))
         n = len(word)
-        out = rows[word, WINDOW].copy()
-        for o in range(1, WINDOW + 1):
-            if o < n:
-                same = (line[o:] == line[:-o])[:, None]
-                out[:-o] += np.where(same, rows[word[o:], WINDOW + o], 0)
-                out[o:] += np.where(same, rows[word[:-o], WINDOW - o], 0)
-        base = 0
-        for text, (words, starts, _) in zip(lines, toks, strict=True):
-            for i, key in extras(text, words, starts):
-                out[base + i] += self._extra_row(key)
-            base += len(words)
+        out = np.zeros((n, len(LABELS)), np.float32)
+        out[:, 1:] = FORBIDDEN
+        got = self.rows[word[at], WINDOW].copy()
+        for o in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+            to = np.clip(at + o, 0, n - 1)
+            near = (line[to] == line[at]) & (to == at + o)
+            got[near] += self.rows[word[to[near]], WINDOW + o]
+        for o, key in enumerate(order_keys(self.cats[word], line)):
+            got += self.order[o, key[at]]
         start, end = np.array([x for t in toks for x in t[1]]), np.array([x for t in toks for x in t[2]])
-        glued = np.r_[False, (start[1:] == end[:-1]) & (line[1:] == line[:-1])]
+        before = np.maximum(at - 1, 0)
+        glued = (at > 0) & (start[at] == end[before]) & (line[at] == line[before])
         for flag, name in ((glued, "G1"), (~glued, "G0")):
             if name in self.weights:
-                out[flag] += self.weights[name]
+                got[flag] += self.weights[name]
+        out[at] = got
+        base, extra = 0, self.extra
+        for text, (_, starts, _), ok in zip(texts, toks, free, strict=True):
+            for i, key in extras(text, starts, ok):
+                row = extra.get(key)
+                if row is None:
+                    row = extra[key] = self._row("", extra_features(key))
+                out[base + i] += row
+            base += len(starts)
         return out, size
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(start, end, kind) of the finds of each text. Texts are cut at line ends, and lines decoded in batches of like length."""
-        lines = [(t, a, line, first, end) for t, text in enumerate(texts) for a, line, first, end in _lines(text)]
+        """(start, end, kind) of the finds of each text. Texts are cut at line ends, lines into windows, and these decoded in
+        batches of like length, of at most BATCH_TOKENS tokens if a single one has no more."""
+        parts = [(t, a + x, w, free, first, end) for t, text in enumerate(texts) for a, line, first, end in _lines(text) for x, w, free in windows(line, self.lexicon)]
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        toks = [tokens(x[2]) for x in lines]
-        order = sorted((i for i in range(len(lines)) if toks[i][0]), key=lambda i: len(toks[i][0]))
-        while order:  # no more than a quarter of a batch is padding
-            most = 16 + len(toks[order[0]][0]) * 5 // 4
-            n = next((i for i, x in enumerate(order[:512]) if len(toks[x][0]) > most), min(512, len(order)))
-            some, order = order[:n], order[n:]
-            paths = viterbi(*self.scores([lines[i][2] for i in some], [toks[i] for i in some]), self.trans)
+        toks = [tokens(x[2]) for x in parts]
+        order = sorted((i for i in range(len(parts)) if toks[i][0]), key=lambda i: len(toks[i][0]))
+        at = 0
+        while at < len(order):  # no more than a quarter of a batch is padding
+            most, n = 16 + len(toks[order[at]][0]) * 5 // 4, at + 1
+            while n < len(order) and len(toks[order[n]][0]) <= most and (n + 1 - at) * len(toks[order[n]][0]) <= BATCH_TOKENS:
+                n += 1
+            some, at = order[at:n], n
+            mine = [toks[i] for i in some]
+            paths = viterbi(*self.scores([parts[i][2] for i in some], mine, [is_free(toks[i][1], parts[i][3]) for i in some]), self.trans)
             for i, path in zip(some, paths, strict=True):
-                t, a, line, first, end = lines[i]
-                found[t] += [(a + x, a + y, k) for x, y, k in spans_of(line, toks[i], path) if first <= a + x < end]
+                if path.any():
+                    t, a, w, _, first, end = parts[i]
+                    found[t] += [(a + x, a + y, k) for x, y, k in spans_of(w, toks[i], path, self.lexicon) if first <= a + x < end]
         return [_apart(sorted(f)) for f in found]
 
 
@@ -240,7 +470,7 @@ def viterbi(flat: np.ndarray, size: np.ndarray, trans: np.ndarray) -> list[np.nd
     return [out[i, :s] for i, s in enumerate(size)]
 
 
-def spans_of(text: str, toks: tuple[list[str], list[int], list[int]], path: np.ndarray) -> list[tuple[int, int, str]]:
+def spans_of(text: str, toks: tuple[list[str], list[int], list[int]], path: np.ndarray, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     words, starts, ends = toks
     out, i = [], 0
     path = path.tolist()
@@ -253,24 +483,35 @@ def spans_of(text: str, toks: tuple[list[str], list[int], list[int]], path: np.n
         while j < len(path) and path[j] == 2 * KINDS.index(kind) + 2:
             j += 1
         a, b = starts[i], ends[j - 1]
-        if (s := settle(text, a, b, kind)) is not None:
+        if (s := settle(text, a, b, kind, lexicon)) is not None:
             out.append((*s, kind))
         i = j
     return out
 
 
-def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+def settle(text: str, a: int, b: int, kind: str, lexicon: Lexicon) -> tuple[int, int] | None:
     """The exact check of a find: its bounds without what doesn't belong to it, or None if it can't be one."""
     if kind == "name":
         while (m := re.match(r"([^\W\d]+)(\.?\s+)", text[a:b])) and m[1].lower() in _TITLES:
             a += m.end()
-    if kind == "email" and (mail := next((m for m in _MAIL.finditer(text, max(0, a - 80), min(len(text), b + 80)) if m.start() < b and m.end() > a), None)):
-        a, b = mail.span()
+        if (m := re.match(r"([^,]+?) ([^\s,]+),", text[a:b])) and m[1].split(" ")[-1].lower() not in _PARTICLES:  # before a comma stands one family name
+            a += m.end(1) + 1
+    if kind == "email" and (mail := next((m for m in _MAIL.finditer(text) if m.start() < b and m.end() > a), None)):
+        a, b = max(a, mail.start()), min(b, mail.end())
     if kind == "address":
         while (m := re.match(r"([a-zà-ÿ]+)\s+", text[a:b])) and m[1] not in _ROADS:
             a += m.end()
-        if (m := re.match(r" ([A-Za-z]+)\b", text[b : b + 20])) and m[1].lower() in _ROADS and m[1][0].isupper():
+        if (m := re.match(r" ([A-Za-z]+)\b", text[b : b + 20])) and m[1].lower() in _ROADS_CAPITAL and m[1][0].isupper():
             b += m.end()
+    if kind == "address":
+        while b - a > 5 and text[a] in "在到至往去是" and text[a + 1] > "㐀":
+            a += 1
+    if kind in ("id_number", "phone") and re.search(r"\d [a-z]$", text[a:b]) and not text[a : a + 2].islower():
+        b -= 2
+    if kind == "id_number" and (m := re.match(r"[a-zà-ÿ]{2,} (?!\d\d \d\d \d\d [a-z]$)", text[a:b])):
+        a += m.end()
+    if kind == "address" and re.match(r"(\S+)", text[a:b])[1].lower() in _ROADS_FIRST and re.search(r"\d [aeoyà]$", text[a:b]):
+        b -= 2
     while a < b and not (text[a].isalnum() or (kind == "phone" and text[a] in "+(")):
         a += 1
     while b > a and not text[b - 1].isalnum():
@@ -279,45 +520,80 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
     han = any("㐀" <= c <= "鿿" for c in s)
+    inside = text[a - 1 : a] in _GLUE or text[b : b + 1] == "_" or (s[:1] < "\u2e80" and _LETTER.match(text[a - 1 : a]) or s[-1:] < "\u2e80" and _LETTER.match(text[b : b + 1])) if s else True
     ok = {
-        "email": bool(re.search(r"@|at", s, re.I)) and bool(re.search(r"\.|dot", s, re.I)) and letters > 3,
-        "phone": 7 <= digits <= 15 and not letters,
-        "id_number": 6 <= digits <= 18 and letters <= 4,
-        "address": digits >= 1 and letters >= 2,
-        "name": not digits and (2 <= len(s) <= 4 if han else len(s) >= 4 and bool(re.search(r"\w[\s,]+\S", s))),
-    }[kind]
+        "email": lambda: bool(re.search(r"@|at", s, re.I)) and bool(re.search(r"\.|dot", s, re.I)) and letters > 3,
+        "phone": lambda: 7 <= digits <= 15 and not letters and not inside and not _DATE.match(s),
+        "id_number": lambda: 6 <= digits <= 18 and letters <= 4 and not inside and not _DATE.match(s),
+        "address": lambda: letters >= 2 and not inside and (bool(re.search(r"[路街巷弄道同里村]\d+号", s)) if han else _is_address(s)),
+        "name": lambda: not digits and (2 <= len(s) <= 4 if han else len(s) >= 4 and _is_name(s, lexicon)),
+    }[kind]()
     return (a, b) if ok else None
 
 
-def _chunk(examples_: list, index: dict[str, int], lexicon: Lexicon):
-    """Arrays of a few sequences: features by token, tokens by feature, labels, positions."""
-    rows, cols, labels, sizes, base = [], [], [], [], 0
-    for words, starts, ends, run, spans in examples_:
+_GLUE, _LETTER = tuple("_-#/="), re.compile(r"[A-Za-z0-9]")
+
+
+_BETWEEN = set("in for of and to from with on at by is are was were".split())
+
+
+def _is_address(s: str) -> bool:
+    """A number before words that end in a road or begin with one, or after words that hold one."""
+    if (m := re.match(r"\d+(?:-\d+)?\s?(?:[A-Za-z]\b|bis\b|ter\b)?,?\s+(.+)", s, re.I)) and not re.search(r"\d", m[1]):
+        w = [x.lower() for x in re.findall(r"[^\W\d_]+", m[1])]
+        return w[0] in _ROADS_FIRST or not _BETWEEN.intersection(w) and any(x in _ROADS_CAPITAL for x in w[1:]) or any(x.endswith(_STREET_END) and len(x) > 4 for x in w)
+    w = [x.lower() for x in re.findall(r"[^\W\d_]+|C/", s[: m.start()])] if (m := re.search(r"\d+(?:-\d+)?\s?\w*$", s)) else []
+    return not re.search(r"\d", s[: m.start()]) and (any(x in _ROADS_FIRST for x in w[:2]) or any(x.endswith(_STREET_END) for x in w)) if w else False
+
+
+def _is_name(s: str, lexicon: Lexicon) -> bool:
+    """At least two parts, written alike: all with capitals, or all without and at least two of them in the lexicon, one as given."""
+    parts = [x for x in re.findall(r"[^\W\d_][^\s,]*", s) if x.lower().rstrip(".") not in _PARTICLES]
+    small = [not any(c.isupper() for c in x[:3]) for x in parts]
+    first, last = (_CUE.get(x.lower().strip(".,"), ()) for x in (parts or [""])[:: max(1, len(parts) - 1)][:2]) if len(parts) > 1 else ((), ())
+    if "org" in first or ({"org", "thing"}.intersection(last) and len(parts) < len(s.split())):  # Team ..., ... von Auftrag
+        return False
+    return len(parts) > 1 and (not any(small) or all(small) and (roles := [x for y in parts for x in map(lexicon.role.get, re.split(r"[-'’]", y)) if x in ("given", "family", "both")]) and len(roles) > 1 and set(roles) != {"family"})
+
+
+def _chunk(cases: list, index: dict[str, int], lexicon: Lexicon, r: random.Random):
+    """Arrays of a few sequences: features by token, tokens by feature, labels, positions. Only free tokens have features.
+
+    In most of the sequences most words are known by their shape and kinds only, as new words would be, and in a part of
+    them the lexicon has none.
+    """
+    rows, cols, labels, sizes, base, frees = [], [], [], [], 0, []
+    for words, starts, ends, run, free, spans, all_known in cases:
         y = np.zeros(len(words), int)
         for a, b, kind in spans:
-            inside = [i for i in range(len(words)) if starts[i] < b and ends[i] > a]
-            y[inside] = 2 * KINDS.index(kind) + 2
-            y[inside[0]] -= 1
-        feats = [word_features(w, lexicon) for w in words]
-        for i in range(len(words)):
+            inside = [i for i in range(len(words)) if starts[i] < b and ends[i] > a and free[i]]
+            if inside:
+                y[inside] = 2 * KINDS.index(kind) + 2
+                y[inside[0]] -= 1
+        strange, listed = not all_known and r.random() < STRANGE[0], r.random() < STRANGE[2]
+        feats = [word_features(w, lexicon, not (strange and r.random() < STRANGE[1]), listed) for w in words]
+        keys = order_keys(np.array([category(w, lexicon, listed) for w in words]), np.zeros(len(words), int))
+        for i in np.flatnonzero(free).tolist():
             names = [f"{o}:{f}" for o in range(-WINDOW, WINDOW + 1) if 0 <= i + o < len(words) for f in feats[i + o]]
             if i in run:
-                names += extra_features(run[i])
+                names += extra_features(run[i], not (strange and r.random() < STRANGE[1]))
             names.append("G1" if i and starts[i] == ends[i - 1] else "G0")
+            names += [f"T{o}:{key[i]}" for o, key in enumerate(keys)]
             rows += [base + i] * len(names)
             cols += [index.setdefault(f, len(index)) for f in names]
         labels.append(y)
+        frees.append(free)
         sizes.append(len(words))
         base += len(words)
     rows, (used, cols) = np.array(rows), np.unique(cols, return_inverse=True)
     order = np.argsort(cols, kind="stable")
-    size, y = np.array(sizes), np.concatenate(labels)
+    size, y, free = np.array(sizes), np.concatenate(labels), np.flatnonzero(np.concatenate(frees))
     seq, pos = np.repeat(np.arange(len(size)), size), np.concatenate([np.arange(s) for s in size])
     k = len(LABELS)
     gold, pairs = np.zeros((base, k), np.float32), np.zeros((k + 1, k))
     gold[np.arange(base), y] = 1
     np.add.at(pairs, (np.where(pos == 0, k, np.r_[0, y[:-1]]), y), 1)
-    return used, cols, np.searchsorted(rows, np.arange(base)), rows[order], np.searchsorted(cols[order], np.arange(len(used))), size, seq, pos, gold, pairs
+    return used, cols, np.searchsorted(rows, free), rows[order], np.searchsorted(cols[order], np.arange(len(used))), size, seq, pos, gold, pairs, free
 
 
 def _expect(x: np.ndarray, trans: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,16 +625,18 @@ def _expect(x: np.ndarray, trans: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return expect, pair
 
 
-def fit(table: list[tuple[str, list[tuple[int, int, str]]]], lexicon: Lexicon, epochs: int = 12, rate: float = 0.2, chunk: int = 48, seed: int = 3) -> Field:
+def fit(table: list[tuple[str, list[tuple[int, int, str]], bool]], lexicon: Lexicon, epochs: int = 8, rate: float = 0.2, chunk: int = 64, seed: int = 3) -> Field:
     """Weights that make the labels likeliest, by adaptive gradient steps (AdaGrad) over chunks of sequences of like length."""
     index: dict[str, int] = {}
     cases = []
-    for text, spans in table:
-        words, starts, ends = tokens(text)
-        if words:
-            cases.append((words, starts, ends, dict(extras(text, words, starts)), spans))
-    cases.sort(key=lambda c: len(c[0]))
-    chunks = [_chunk(cases[i : i + chunk], index, lexicon) for i in range(0, len(cases), chunk)]
+    for text, spans, known in table:
+        for at, w, free in windows(text, lexicon):
+            words, starts, ends = tokens(w)
+            ok = is_free(starts, free)
+            cases.append((words, starts, ends, dict(extras(w, starts, ok)), ok, [(a - at, b - at, k) for a, b, k in spans], known))
+    cases = sorted((c for c in cases if c[4].any()), key=lambda c: len(c[0]))
+    order = random.Random(seed)
+    chunks = [_chunk(cases[i : i + chunk], index, lexicon, order) for i in range(0, len(cases), chunk)]
     k = len(LABELS)
     w, trans = np.zeros((len(index), k), np.float32), np.zeros((k + 1, k))
     for i, name in enumerate(LABELS):  # an inside follows its own begin or inside only
@@ -370,74 +648,73 @@ def fit(table: list[tuple[str, list[tuple[int, int, str]]]], lexicon: Lexicon, e
     total = np.zeros_like(w)
     for epoch in range(epochs):
         for c in r.permutation(len(chunks)):
-            used, cols, token_at, rows, feature_at, size, seq, pos, gold, pairs = chunks[c]
-            x = np.zeros((len(size), size.max(), k), np.float32)
-            x[seq, pos] = np.add.reduceat(w[used][cols], token_at, axis=0)
+            used, cols, token_at, rows, feature_at, size, seq, pos, gold, pairs, free = chunks[c]
+            x = np.full((len(size), size.max(), k), -30, np.float32)
+            x[:, :, 0] = 0
+            own = w[used]
+            x[seq[free], pos[free]] = np.add.reduceat(own[cols], token_at, axis=0)
             expect, pair = _expect(x, trans.astype(np.float32), size)
-            g = np.add.reduceat((gold - expect[pos, seq])[rows], feature_at, axis=0) / len(size) - 1e-5 * w[used]
+            g = np.add.reduceat((gold - expect[pos, seq])[rows], feature_at, axis=0) / len(size) - 1e-5 * own
             h = np.where(fixed, 0, (pairs - pair) / len(size))
             gw[used] += g * g
             gt += h * h
-            w[used] += rate * g / np.sqrt(gw[used])
+            w[used] = own + rate * g / np.sqrt(gw[used])
             trans += np.where(fixed, 0, rate * h / np.sqrt(gt))
         if epoch >= epochs // 2:
             total += w
     w = total / (epochs - epochs // 2)  # averaged over the later epochs
-    keep = np.abs(w).max(1) > 1e-3
+    keep = np.abs(w).max(1) > 1e-2
     return Field({f: w[i] for f, i in index.items() if keep[i]}, trans.astype(np.float32), lexicon)
 
 
-def quiet(texts: Iterable[str], lexicon: Lexicon) -> list[str]:
-    """Different sentences that hold nothing like a find: no mail sign, no long run of digits, no name's part with a
-    capital, no two capitals in a row, no road with a number."""
-    out: dict[str, None] = {}
-    for text in texts:
-        for sentence in re.split(r"\n|(?<=[.!?]) |(?<=[。！？])", text):
-            words, *_ = tokens(sentence)
-            named = any(w.lower() in lexicon.role and (w[0].isupper() or w[0] > "㐀") for w in words)
-            roads = any(w.lower() in _ROADS or w.lower().endswith(_STREET_END) or w in "路街巷道号" for w in words)
-            capital = re.search(r"[A-ZÀ-Ý][\w'’-]+,? (?:[A-Z]\. )?[A-ZÀ-Ý][\w'’-]+", sentence)
-            if 2 < len(words) <= 60 and not (named or roads or capital or "@" in sentence or re.search(r"\bat\b|\d[\d ().-]{6,}\d|[A-Za-z]{1,2}[ -]?\d{3,}", sentence)):
-                out[sentence] = None
-    return list(out)
-
-
-def examples(table: list[tuple[str, list[tuple[int, int, str]]]], negatives: list[str], seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Lines as they occur: sentences of the table among each other and among negatives, with and without an opener."""
+def examples(table: list[tuple[str, list[tuple[int, int, str]], bool]], seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]], bool]]:
+    """Lines as they occur: sentences of the table among each other, with and without an opener."""
     r, out = random.Random(seed), []
-    rest = [*table, *((x, []) for x in negatives)]
+    rest = list(table)
     r.shuffle(rest)
     while rest:
-        text, spans = r.choice(["", "", "- ", "* ", "user: ", "assistant: "]), []
+        text, spans, known = r.choice(["", "", "- ", "* ", "user: ", "assistant: "]), [], False
         for _ in range(r.choice([1, 1, 2, 3])):
             if rest:
-                more, found = rest.pop()
+                more, found, plain = rest.pop()
+                known |= plain
                 spans += [(a + len(text), b + len(text), k) for a, b, k in found]
                 text += more + ("" if more[-1:] in "。！？" else " ")
-        out.append((text, spans))
+        out.append((text, spans, known))
     return out
 
 
-def trained(records: DataFrame, text: str, lexicon_rows: Iterable[tuple[str, str]], quiet_texts: int = QUIET_TEXTS, **kw) -> Field:
-    """A field fitted on the labelled table and on quiet sentences of the first `quiet_texts` records by hash of the text."""
-    rows = records.where(F.col(text).isNotNull() & (F.length(text) <= QUIET_CHARS)).select(F.col(text).alias("t"))
-    return learn([r.t for r in rows.orderBy(F.xxhash64("t"), "t").limit(quiet_texts).collect()], lexicon_rows, **kw)
+def learn(lexicon_rows: Iterable[tuple[str, str]], scale: float = SCALE, seeds: Iterable[int] = SEEDS, **kw) -> Field:
+    """The mean of fields fitted on labelled tables drawn from the seeds, a part of whose names are the lexicon's. Nothing
+    else is read, so it is the same whatever it is applied to."""
+    names, seeds = sorted(set(lexicon_rows)), list(seeds)
+    given, family = ([n for n, r in names if r == role] for role in ("given", "family"))
+    fields = [fit(examples(labelled.table(scale, seed, given, family), seed), Lexicon(names), seed=seed, **kw) for seed in seeds]
+    weights: dict[str, np.ndarray] = {}
+    for field in fields:
+        for f, w in field.weights.items():
+            weights[f] = weights.get(f, 0) + w / np.float32(len(seeds))
+    return Field(weights, np.mean([f.trans for f in fields], axis=0).astype(np.float32), Lexicon(names))
+
+
+_FITTED: dict[str, Field] = {}
 
 
-def learn(texts: list[str], lexicon_rows: Iterable[tuple[str, str]], most: int = 1_200, tables: int = 3, **kw) -> Field:
-    """The mean of fields fitted on `tables` tables with other fillers, so that no filler's chance decides."""
+def trained(spark: SparkSession, lexicon_rows: Iterable[tuple[str, str]]) -> Field:
+    """The field of a lexicon: fitted once, then taken from the shared folder."""
     names = sorted(set(lexicon_rows))
-    lexicon = Lexicon(names)
-    negatives = quiet(texts, lexicon)[:most]
-    weights: dict[str, np.ndarray] = {}
-    trans = np.zeros((len(LABELS) + 1, len(LABELS)), np.float32)
-    for seed in range(tables):
-        table = labelled.table(seed=11 + seed, given=[n for n, r in names if r == "given"], family=[n for n, r in names if r == "family"])
-        field = fit(examples(table, negatives, seed), lexicon, seed=seed, **kw)
-        trans += field.trans / tables
-        for f, w in field.weights.items():
-            weights[f] = weights.get(f, 0) + w / np.float32(tables)
-    return Field(weights, trans, lexicon)
+    key = hashlib.sha256(repr((names, SCALE, SEEDS, STRANGE, labelled.FRAMES, labelled.SHARE, labelled.PLAIN, labelled.CUES, LABELS)).encode()).hexdigest()[:24]
+    if key not in _FITTED:
+        path = f"{shared_dir(spark)}/pii-{key}"
+        try:
+            rows = spark.read.parquet(path).collect()  # one row per feature, of a table of bounded size
+        except AnalysisException:
+            field = learn(names)
+            rows = [("t", f"{i}", x.tolist()) for i, x in enumerate(field.trans)] + [("w", f, x.tolist()) for f, x in field.weights.items()]
+            spark.createDataFrame(rows, "part string, name string, row array<float>").coalesce(1).write.mode("ignore").parquet(path)
+        trans = {int(n): x for p, n, x in rows if p == "t"}
+        _FITTED[key] = Field({n: np.array(x, np.float32) for p, n, x in rows if p == "w"}, np.array([trans[i] for i in range(len(trans))], np.float32), Lexicon(names))
+    return _FITTED[key]
 
 
 def value(find: str) -> str:
@@ -446,10 +723,10 @@ def value(find: str) -> str:
 
 def _mapped(items: DataFrame, key: str, text: str, field: Field, whole: bool) -> DataFrame:
     rows = items.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    weights, trans, lexicon = field.weights, field.trans, field.lexicon
+    weights, trans, names = field.weights, field.trans, field.lexicon.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field(weights, trans, lexicon)
+        f = Field(weights, trans, Lexicon(names))
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)

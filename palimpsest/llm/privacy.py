@@ -9,10 +9,10 @@ from palimpsest.runtime import table
 from palimpsest.sources.records import notes, records
 
 
-def _field(spark: SparkSession, sf_dir: str, texts: DataFrame) -> pii.Field:
+def _field(spark: SparkSession, sf_dir: str) -> pii.Field:
     # The lexicon is a table of fixed size, part of the operator's settings.
     names = [(r.name, r.role) for r in table(spark, sf_dir, "name_lexicon").where("name is not null and role is not null").collect()]
-    return pii.trained(texts, "content", names)
+    return pii.trained(spark, names)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +20,13 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = _field(spark, sf_dir, table(spark, sf_dir, "memory_record"))
+    field = _field(spark, sf_dir)
     return pii.find(_texts(spark, sf_dir), "id", "content", field).select("id", "kind", "value").distinct()
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record and note with its finds replaced by placeholders."""
-    field = _field(spark, sf_dir, table(spark, sf_dir, "memory_record"))
+    field = _field(spark, sf_dir)
     return pii.redact(_texts(spark, sf_dir), "id", "content", field)
 
 
