@@ -6,6 +6,10 @@ with children keyed by the integer distance to their parent, are searched within
 whose key is within the radius of the distance at hand. There is a tree for each shard, and a record goes to the shards
 of its rarest runs: as two records of the wanted similarity share at least one of these, no pair is lost by sharding.
 What the trees find is verified exactly. Records with the same set are one class and searched once.
+
+Shards too large for one tree are split by a second of the rarest runs (two records of the wanted similarity share two
+of one more of them), then by a third, as long as that leaves parts too large; rows so grow with the shard, not with its
+square. What even then stays together is searched in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -16,14 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import cut, shuffle_width, spread
 
-BITS, SIGMAS, SHARD_ROWS = 256, 4.5, 4_096
-#: Runs so frequent that they aren't counted: at most HOT_MOST, those that HOT_LEAST of every HOT_PART-th class have.
-HOT_MOST, HOT_LEAST, HOT_PART = 1_000, 2_000, 16
+BITS, SIGMAS, SHARD_ROWS = 128, 4.5, 4_096
+#: Shards of more than so many trees' rows are split by a further run, MOST_RUNS in all at most; above COPIES a class's copies are paired in parts.
+SPLIT, MOST_RUNS, COPIES = 16, 4, 1_000
 _WORD = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])[^\W_])+")
 _MASK = (1 << 64) - 1
 
@@ -39,7 +42,7 @@ def radius(similarity: float, bits: int = BITS, sigmas: float = SIGMAS) -> int:
     return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5) + 1
 
 
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (2, BITS)).astype(np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20).integers(1, 1 << 31, (2, BITS)).astype(np.uint32) | np.uint32(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,24 +65,28 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def fingerprint(s: np.ndarray) -> bytes:
     """A bit of the least value of the set under each of BITS hash functions."""
-    best = np.full(BITS, np.uint64(_MASK))
-    for at in range(0, len(s), 4096):
-        h = s[at : at + 4096, None] * _SEEDS[0] + _SEEDS[1]
-        best = np.minimum(best, (h ^ (h >> np.uint64(29))).min(0))
-    return np.packbits((mix(best) & np.uint64(1)).astype(np.uint8)).tobytes()
+    low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    best = np.full(BITS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(low), 1024):
+        h = low[at : at + 1024, None] * _SEEDS[0]
+        h ^= h >> np.uint32(15)
+        h *= _SEEDS[1]
+        best = np.minimum(best, h.min(0))
+    return np.packbits((mix(best.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
 class BKTree:
     """Fingerprints as whole numbers; equal ones share a node."""
 
     def __init__(self):
-        self.root = None
+        self.root, self.visited = None, 0
 
     def near(self, x: int, radius: int) -> list:
         """What was added within the radius of x."""
         out, todo = [], [self.root] if self.root else []
         while todo:
             value, items, children = todo.pop()
+            self.visited += 1
             d = (x ^ value).bit_count()
             if d <= radius:
                 out += items
@@ -130,40 +137,49 @@ def _sets(rows: DataFrame, width: int, least_words: int) -> DataFrame:
     return spread(rows).mapInArrow(run, "id string, runs array<bigint>, print binary")
 
 
-def _hot(each: DataFrame, least: int = HOT_LEAST) -> list[int]:
-    """The most frequent runs. Any one order of runs loses no pair, so these may stand last without being counted; thus no
-    task has to gather a run that a third of all records have."""
-    part = each.where(F.pmod(F.xxhash64("rid"), F.lit(HOT_PART)) == 0).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
-    return [r.run for r in part.orderBy(F.col("c").desc(), "run").limit(HOT_MOST).collect()]
-
-
-def _shards(classes: DataFrame, similarity: float, shard_rows: int, hot_least: int = HOT_LEAST) -> DataFrame:
-    """(shard, a, b, second, rid, print): each class at the shards of its rarest runs, those that no other has left out.
+def _rarest(classes: DataFrame, similarity: float, more: int) -> DataFrame:
+    """(rid, first, runs): each class's rarest shared runs in order. Of n runs, floor((1 - similarity) n) + 1 are `first`;
+    runs has up to `more` beyond these.
 
-    With n runs, floor((1 - similarity) n) + 1 of the rarest are enough. A run that one class has can't be shared, so only
-    the others are sorted by class. A shard of more than shard_rows classes is cut into blocks, and each pair of blocks
-    becomes a part of its own.
+    A run that one class has can't be shared, so only the others are sorted, and the number that can't is taken off.
     """
     each = classes.select("rid", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    hot = _hot(each, hot_least)
-    shared = each.where(~F.col("run").isin(hot)) if hot else each
-    shared = shared.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("run"))).where(F.col("df") > 1)
-    if hot:
-        shared = shared.unionByName(each.where(F.col("run").isin(hot)).withColumn("df", F.lit(1 << 60)))
-    order = W.partitionBy("rid").orderBy("df", "run")
-    ranked = shared.withColumn("i", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(W.partitionBy("rid")))
-    first = ranked.where(F.col("i") + F.col("alone") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("run", "rid")
-    sized = cut(first)
-    load = sized.groupBy("run").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > 1)
-    placed = sized.join(load, "run").join(classes.select("rid", "print"), "rid")
+    # Counts are pre-aggregated; the join's frequent runs are split by adaptive execution, as each has one row on the other side.
+    shared = each.join(each.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "run")
+    mine = shared.groupBy("rid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "run"))).alias("runs"))
+    first = F.floor((1 - similarity) * F.col("n") + 1e-9) + 1 - (F.col("n") - F.size("runs"))
+    return mine.withColumn("first", first.cast("int")).where(F.col("first") > 0).select("rid", "first", F.slice(F.col("runs.run"), 1, F.col("first") + more).alias("runs"))
+
+
+def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
+    """(shard, a, b, second, rid, print): each class at the shards of its rarest runs, those that no other has left out."""
+    rare = cut(_rarest(classes, similarity, MOST_RUNS - 1))
+    at = rare.select("rid", F.posexplode(F.slice("runs", 1, F.col("first"))).alias("last", "shard"))
+    done = []
+    for runs in range(1, MOST_RUNS + 1):
+        at = cut(at)
+        load = at.groupBy("shard").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > 1)
+        large = load.where(F.col("load") > SPLIT * shard_rows)
+        if runs == MOST_RUNS or large.isEmpty():
+            done.append(at.join(load, "shard"))
+            break
+        done.append(at.join(load.where(F.col("load") <= SPLIT * shard_rows), "shard"))
+        # One more of the rarest, behind those that the shard has: of first + runs of them two alike records share runs + 1.
+        further = at.join(large, "shard").select("rid", "shard", "last").join(rare, "rid")
+        rest = F.posexplode(F.slice("runs", F.col("last") + 2, F.greatest(F.lit(0), F.col("first") + runs - F.col("last") - 1)))
+        at = further.select("rid", "shard", "last", rest.alias("p", "run")).select("rid", (F.col("last") + F.col("p") + 1).alias("last"), F.xxhash64("shard", "run").alias("shard"))
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    placed = placed.join(classes.select("rid", "print"), "rid")
     blocks = F.ceil(F.col("load") / shard_rows).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     low, high = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
     return (
         placed.withColumn("blocks", blocks)
         .withColumn("own", own)
-        .select("run", "rid", "print", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.col("run").alias("shard"), low.alias("a"), high.alias("b"), (F.col("own") > F.col("other")).alias("second"), "rid", "print")
+        .select("shard", "rid", "print", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("shard", low.alias("a"), high.alias("b"), (F.col("own") > F.col("other")).alias("second"), "rid", "print")
     )
 
 
@@ -222,7 +238,12 @@ def links(items: DataFrame, key: str, text: str, similarity: float = 0.8, width:
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records, copies too."""
     m = lambda side: members.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}"))
-    copies = members.select("class", F.col("id").alias("id_a")).join(members.select("class", F.col("id").alias("id_b")), "class").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    # A class of many copies is dealt out: each part of it meets the whole class.
+    sizes = members.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("parts"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    sized = members.join(sizes.drop("size"), "class")
+    left = sized.select("class", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("id_a"))
+    right = sized.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"))
+    copies = left.join(right, ["class", "part"]).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
     across = pairs.select("a", "b").join(m("a"), "a").join(m("b"), "b")
     return copies.unionByName(across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
 

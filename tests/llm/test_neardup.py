@@ -50,30 +50,40 @@ def test_pairs_groups_and_blocks(spark):
     assert neardup.expand(members, pairs).count() == 0 and neardup.groups(members, pairs).count() == 0
 
 
-def test_uncounted_frequent_runs_lose_no_pair(spark, monkeypatch):
+def test_large_shards_split_by_further_runs_lose_no_pair(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame(list(docs.items()), "id string, content string")
     want, _ = brute(docs, 12, 0.6, 3)
-    monkeypatch.setattr(neardup, "HOT_PART", 1)
-    monkeypatch.setattr(neardup._shards, "__defaults__", (3,))
-    assert {(r.id_a, r.id_b) for r in neardup.expand(*neardup.links(df, "id", "content", 0.6, 3, 12)).collect()} == want
+    monkeypatch.setattr(neardup, "SPLIT", 1)
+    monkeypatch.setattr(neardup, "COPIES", 4)
+    for rows in (2, 5):
+        got = [(r.id_a, r.id_b) for r in neardup.expand(*neardup.links(df, "id", "content", 0.6, 3, 12, shard_rows=rows)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
 
+def test_a_run_of_all_records_costs_rows_in_proportion(spark, monkeypatch):
+    """Records that share one footer and nothing else: splitting sends no more rows for each when there are more."""
+    monkeypatch.setattr(neardup, "SPLIT", 1)
+    r = random.Random(3)
+    rows = []
+    for n in (100, 400):
+        texts = [(f"d{i}", " ".join(f"u{r.random()}" for _ in range(4)) + " one footer that stands under every single text of this large store") for i in range(n)]
+        df = spark.createDataFrame(texts, "id string, content string")
+        sets = neardup._sets(df, 3, 0).select("runs", "print", F.monotonically_increasing_id().alias("rid"))
+        rows.append(neardup._shards(sets, 0.9, 20).count() / n)
+    assert rows[1] <= 2 * rows[0] + 1
 
-def test_tree_is_exact_search():
-    r = random.Random(1)
+
+def test_tree_finds_what_a_scan_finds():
+    r = random.Random(4)
     tree, all_ = neardup.BKTree(), []
-    for i in range(800):
-        x = r.getrandbits(64) if i % 2 else all_[r.randrange(len(all_))] ^ (1 << r.randrange(64)) if all_ else 5
-        assert sorted(tree.near(x, 9)) == [j for j, y in enumerate(all_) if (x ^ y).bit_count() <= 9]
+    for i in range(500):
+        x = r.getrandbits(16)
         tree.add(x, i)
         all_.append(x)
-
-
-def test_components(spark):
-    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("x", "y"), ("z", "y"), ("q", "q")]
-    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(chain, "a string, b string")).collect()}
-    assert got == {f"n{i:03}": "n000" for i in range(71)} | {"x": "x", "y": "x", "z": "x"}
-
-
-def test_radius():
-    assert 51 < neardup.radius(0.6) < 90 and F is not None
+    for radius in (0, 2, 5):
+        q = r.getrandbits(16)
+        assert sorted(tree.near(q, radius)) == [i for i, x in enumerate(all_) if (x ^ q).bit_count() <= radius]
+    tree.visited = 0
+    tree.near(all_[7], 1)
+    assert tree.visited < 250  # edges outside of the radius are not followed
