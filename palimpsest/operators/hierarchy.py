@@ -4,7 +4,8 @@ Each level contracts the chains that lie within one partition to their exits, so
 fragments the same way, and expands. A node is placed with its parent by coin flips (child heads, parent tails), so an
 expected constant share of the inner nodes vanishes at each level however the keys are spread; a level that fits one
 task (`leaf_rows`, a fixed bound) ends the recursion. Loops inside a partition are found there, loops across
-partitions at the level where they have become local; the smallest id on the way is carried along.
+partitions at the level where they have become local; the smallest id on the way is carried along. Fragments carry the
+nodes they pass only where paths are asked for: depth and root need none, so chains of any length fit a task.
 """
 
 from __future__ import annotations
@@ -18,36 +19,40 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import cut
 
 EDGE = "node string, exit string, hops bigint, least string, frag array<string>, looped boolean"
-HEAVY = 20_000
+HEAVY, LEAF_ROWS = 20_000, 1_000
 
 
 def contract(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains within one task to their exits. frag: the nodes passed, the node itself first, the exit not included."""
-    step = {r.node: (r.exit, r.hops, r.least, list(r.frag), bool(r.looped)) for r in pdf.itertuples(index=False)}
-    done: dict[str, tuple] = {}
-    for start in step:
-        if start in done:
-            continue
-        trail, at, on = [], start, {}
-        while at in step and at not in done and at not in on:
-            on[at] = len(trail)
-            trail.append(at)
-            if step[at][4]:
-                break
-            at = step[at][0]
-        if at in on and not step[at][4]:  # a loop inside this task
-            least = min(step[x][2] for x in trail[on[at] :])
+    """Chains within one task to their exits. frag: the nodes passed, the node itself first, the exit not included; null
+    where no paths are asked for."""
+    node, to, least, looped = (pdf[c].tolist() for c in ("node", "exit", "least", "looped"))
+    hops, frag = pdf["hops"].tolist(), [None if f is None else list(f) for f in pdf["frag"].tolist()]
+    at = {x: i for i, x in enumerate(node)}
+    nxt = [-1 if looped[i] else at.get(to[i], -1) for i in range(len(node))]
+    state = [0] * len(node)  # 0 untouched, 1 on the way, 2 done
+    for start in range(len(node)):
+        trail, i = [], start
+        while i >= 0 and state[i] == 0:
+            state[i] = 1
+            trail.append(i)
+            i = nxt[i]
+        if i >= 0 and state[i] == 1:  # a loop inside this task
+            low = min(least[x] for x in trail[trail.index(i) :])
             for x in trail:
-                done[x] = (least, 0, least, [x], True)
+                to[x], hops[x], least[x], looped[x], state[x] = low, 0, low, True, 2
+                frag[x] = None if frag[x] is None else [node[x]]
             continue
         for x in reversed(trail):
-            to, hops, least, frag, looped = step[x]
-            if not looped and to in done:
-                t2, h2, l2, f2, looped2 = done[to]
-                done[x] = (t2, h2 if looped2 else hops + h2, l2 if looped2 else min(least, l2), [x] if looped2 else frag + f2, looped2)
+            state[x], n = 2, nxt[x]
+            if n < 0:
+                continue
+            if looped[n]:
+                to[x], hops[x], least[x], looped[x] = to[n], hops[n], least[n], True
+                frag[x] = None if frag[x] is None else [node[x]]
             else:
-                done[x] = (to, hops, least, frag, looped)
-    return pd.DataFrame([(k, *v) for k, v in done.items()], columns=["node", "exit", "hops", "least", "frag", "looped"])
+                to[x], hops[x], least[x] = to[n], hops[x] + hops[n], min(least[x], least[n])
+                frag[x] = None if frag[x] is None else frag[x] + frag[n]
+    return pd.DataFrame({"node": node, "exit": to, "hops": hops, "least": least, "frag": frag, "looped": looped})
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,25 +89,26 @@ def _solve(edges: DataFrame, level: int, leaf_rows: int, most: int) -> DataFrame
             F.when(hit, F.col("u_exit")).otherwise(F.col("exit")).alias("exit"),
             F.when(loop, F.lit(0)).when(hit, F.col("hops") + F.col("u_hops")).otherwise(F.col("hops")).alias("hops"),
             F.when(loop, F.col("u_least")).when(hit, F.least("least", "u_least")).otherwise(F.col("least")).alias("least"),
-            F.when(loop, F.array("node")).when(hit, F.concat("frag", "u_frag")).otherwise(F.col("frag")).alias("frag"),
+            F.when(F.col("frag").isNull(), None).when(loop, F.array("node")).when(hit, F.concat("frag", "u_frag")).otherwise(F.col("frag")).alias("frag"),
             (F.col("looped") | loop).alias("looped"),
         )
     )
 
 
-def resolve(links: DataFrame, leaf_rows: int = 200_000, most_levels: int = 200) -> DataFrame:
+def resolve(links: DataFrame, leaf_rows: int = LEAF_ROWS, most_levels: int = 200, paths: bool = True) -> DataFrame:
     """(node, root, depth, path, looped) of every node of the forest that `links(node, parent)` spans.
 
     One parent per node is expected; of several the smallest counts. Null nodes or parents are no links. A node that
     is only a parent is a root: depth 0, path of itself. path runs from the root to the node. A chain that runs into a
     loop (a node that is its own parent is one) has looped true, depth -1, root the smallest node on the loop and a
-    null path. An empty table gives no rows. Extra columns are ignored.
+    null path. An empty table gives no rows. Extra columns are ignored. Without `paths` all paths are null, and a chain
+    of n nodes costs n rows rather than the square of it.
     """
     edges = links.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("exit"))
-    edges = cut(edges.select("node", "exit", F.lit(1).cast("bigint").alias("hops"), F.col("node").alias("least"), F.array("node").alias("frag"), F.lit(False).alias("looped")))
+    edges = cut(edges.select("node", "exit", F.lit(1).cast("bigint").alias("hops"), F.col("node").alias("least"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("frag"), F.lit(False).alias("looped")))
     solved = _solve(edges, 0, leaf_rows, most_levels)
     below = solved.select("node", F.when(F.col("looped"), F.col("least")).otherwise(F.col("exit")).alias("root"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("hops")).cast("int").alias("depth"), F.when(~F.col("looped"), F.reverse(F.concat("frag", F.array("exit")))).alias("path"), "looped")
-    roots = below.where(~F.col("looped")).select("root").distinct().select(F.col("root").alias("node"), "root", F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("looped"))
+    roots = below.where(~F.col("looped")).select("root").distinct().select(F.col("root").alias("node"), "root", F.lit(0).alias("depth"), (F.array("root") if paths else F.lit(None).cast("array<string>")).alias("path"), F.lit(False).alias("looped"))
     return below.unionByName(roots)
 
 

@@ -41,7 +41,7 @@ def _bare(c: str):
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).select(_bare("node").alias("id"), _bare("root").alias("root_id"), "depth")
+    return _resolved(spark, sf_dir, paths=False).select(_bare("node").alias("id"), _bare("root").alias("root_id"), "depth")
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

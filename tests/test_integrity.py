@@ -59,3 +59,19 @@ def test_spellings_of_an_id_are_nodes_of_their_own(spark, tmp_path):
     got = sorted((r.id, r.root_id, r.depth) for r in integrity.p3_found(spark, str(tmp_path)).collect())
     records = [("A", "root", 1), ("a#c1", "root", 1), ("root", "root", 0), ("x", "a", 1), ("a", "a", 0), ("y", "root", 2), ("z", "root", 2)]
     assert got == sorted([*records, ("n", "a", 1), ("a", "a", 0)])
+
+
+def test_a_very_long_chain_in_one_task_without_paths():
+    import pandas as pd
+
+    n = 200_000
+    names = [f"k{i:06}" for i in range(n + 1)]
+    out = hierarchy.contract(pd.DataFrame({"node": names[1:], "exit": names[:-1], "hops": 1, "least": names[1:], "frag": [None] * n, "looped": False}))
+    assert (out["exit"] == names[0]).all() and out["hops"].tolist() == list(range(1, n + 1)) and not out["looped"].any()
+
+
+def test_without_paths_the_rest_is_the_same(spark):
+    links = [(f"k{i:04}", f"k{i - 1:04}") for i in range(1, 1500)] + [("a", "b"), ("b", "a"), ("c", "a")]
+    df = spark.createDataFrame(links, "node string, parent string")
+    got = {r.node: (r.root, r.depth, r.path) for r in hierarchy.resolve(df, leaf_rows=400, paths=False).collect()}
+    assert got == {k: (root, depth, None) for k, (root, depth, _) in brute(links).items()}
