@@ -69,3 +69,22 @@ def block(rows: DataFrame, key: list[str], order: str, header: Column | None = N
     """(key, text): lines joined in order below a header."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))), lambda x: x["l"]), "\n")
     return rows.groupBy(*key).agg(body.alias("text")).withColumn("text", F.concat(header, F.lit("\n"), "text") if header is not None else F.col("text"))
+
+
+#: Categories in the order in which they stand, characters that the frame and its closing take.
+XML_ORDER, XML_FRAME, XML_CLOSING = ("semantic", "episodic", "core"), 20, 30
+
+
+def xml_facts(rows, key: list[str], place: str, most_chars: int = 6000):
+    """rows(key, id, place, layer, tags, content, date) with category, number and line: one line a record, categories in their
+    order, ranked inside, as long as all before them fit. Facts under five characters are left out."""
+    persona = (F.col("layer") == "L1") & F.coalesce(F.array_contains("tags", "persona"), F.lit(False))
+    category = F.when(persona, "core").when(F.col("layer") == "L1", "semantic").otherwise("episodic")
+    bare = F.regexp_replace(F.regexp_replace("content", r"^\[\d{4}-\d{2}-\d{2}\]\s*\(session [^)]+\)\n", ""), r"(?i)^(user|assistant):\s*", "")
+    sentence = F.element_at(F.split(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"[.!?]\s"), 1)
+    day = F.when(F.col("date") != "", F.concat(F.lit("["), F.element_at(F.split("date", " "), 1), F.lit("] "))).otherwise("")
+    facts = rows.withColumns({"category": category, "fact": F.concat(day, F.substring(sentence, 1, 200))}).where(F.length("fact") >= 5)
+    rank_of = F.array_position(F.array(*map(F.lit, XML_ORDER)), F.col("category"))
+    w = W.partitionBy(*key).orderBy(rank_of, place)
+    lined = facts.withColumn("line", F.concat(F.lit("    -"), "fact")).withColumns({"number": F.row_number().over(w), "_used": F.sum(F.length("line")).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    return lined.where(XML_FRAME + F.col("_used") + XML_CLOSING <= most_chars).drop("_used", "fact")

@@ -74,3 +74,11 @@ def reranked(rows: DataFrame, scores: str, group: str = "query_id", top: int = 4
     """The first rows reordered by outside scores, missing ones last; nothing is dropped."""
     outside = F.when(F.col("pos") <= top, F.coalesce(F.nanvl(scores, F.lit(-1.0)), F.lit(-1.0)))
     return rows.withColumn("reranked", F.row_number().over(W.partitionBy(group).orderBy((F.col("pos") > top).cast("int"), outside.desc(), "pos")))
+
+
+def session_sample(rows: DataFrame, key: list[str], session: str, order: list[str], each: int = 3, most: int = 90) -> DataFrame:
+    """rows with `number`: the first `each` of every session, up to `most` of a key, in order; rows without a session are one.
+    The first window is cut to `each` rows of a session before the second one sees them."""
+    own = W.partitionBy(*key, F.coalesce(session, F.lit("?"))).orderBy(*order)
+    few = rows.withColumn("_i", F.row_number().over(own)).where(F.col("_i") <= each).drop("_i")
+    return few.withColumn("number", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("number") <= most)

@@ -35,9 +35,10 @@ def bm25(rows: DataFrame, query: str = "query", content: str = "content", group:
     query, low = "_query", F.lower(F.coalesce("_content", F.lit("")))
     base = base.withColumns({"_terms": text.query_terms(F.col(query)), "_low": low, "_dl": F.size(F.split(low, r"\s+"))})
     avg = base.groupBy(group).agg(F.avg("_dl").alias("_avg"), F.count(F.lit(1)).alias("_n"))
-    hits = base.select(group, key, "_dl", F.size("_terms").alias("_q"), "_low", F.explode(F.array_distinct("_terms")).alias("term"))
-    count = ((F.length("_low") - F.length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.length("term")).cast("int")
-    hits = hits.withColumn("tf", count).where(F.col("tf") > 0).drop("_low")
+    # Terms are counted inside the row, so that no text is repeated for each of them.
+    count = lambda t: ((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t)).cast("int")
+    counted = F.filter(F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), count(t).alias("tf"))), lambda x: x["tf"] > 0)
+    hits = base.select(group, key, "_dl", F.size("_terms").alias("_q"), F.inline(counted))
     df = hits.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
     x = hits.join(df, [group, "term"]).join(avg, group)
     idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -18,6 +18,16 @@ def json_part(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(F.when(fenced != "", fenced).otherwise(reply), r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def response_text(response: Column) -> Column:
+    """Text of a completion, given as JSON: its content if that is a string, else its text blocks, one below another; without
+    either an empty text. A completion that stopped for an error raises."""
+    r = F.from_json(response, "stopReason string, errorMessage string, content string")
+    blocks = F.from_json(response, "content array<struct<type:string,text:string>>")["content"]
+    texts = F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), lambda t: t.isNotNull())
+    text = F.when(F.size(blocks) >= 0, F.array_join(texts, "\n")).otherwise(F.coalesce(r["content"], F.lit("")))
+    return F.when(r["stopReason"] == "error", F.raise_error(F.concat(F.lit("completion failed: "), F.coalesce(r["errorMessage"], F.lit("unknown error")))).cast("string")).otherwise(text)
+
+
 def _items(replies: DataFrame, name: str, fields: str) -> DataFrame:
     """Each object of the list `name`, read field by field, so that one malformed entry spoils no other."""
     part = F.from_json(json_part(F.col("reply")), f"{name} array<string>")[name]

@@ -14,6 +14,7 @@ from palimpsest.functions import render, score, temporal, text
 from palimpsest.functions import vocabulary as V
 from palimpsest.operators import graph, maintain, rank, recall
 from palimpsest.plans import maintenance, search
+from palimpsest.plans import recall as recall_plans
 from palimpsest.plans import sqlparts as S
 from palimpsest.runtime import cut, table
 from palimpsest.sources.records import notes, records
@@ -121,7 +122,23 @@ class Memory:
     def recall(self, query: str, scope: str | None = None) -> DataFrame:
         rows = self._active().where(F.col("scope") == scope) if scope else self._active()
         asked = rows.withColumns({"query_id": F.lit("q"), "query": F.lit(query)})
-        return recall.bm25(asked).orderBy("place").join(rows.select("id", "content"), "id")
+        return recall.bm25(asked).join(rows.select("id", "content"), "id").orderBy("place")
+
+    def search(self, query: str, scope: str | None = None, top_k: int = 10, question_date: str | None = None, options: "search.Options" = search.Options()) -> DataFrame:
+        """(id, pos, score, chars, content) of one question's records, as the search pipeline ranks them within its budget.
+        Candidates are the scope's active records; with `embed`, the question's vector is held against the records'."""
+        spark = self.spark
+        asked = spark.createDataFrame([("q", query, None, question_date, top_k, None)], "query_id string, query string, options array<string>, question_date string, top_k int, semanticWeight double")
+        found = self._active().where(F.col("scope") == scope) if scope else self._active()
+        sig = found.select(F.lit("q").alias("query_id"), "id", F.lit(None).cast("double").alias("rerank"))
+        if self.embed is None:
+            sig = sig.withColumn("sem", F.lit(None).cast("double"))
+        else:
+            mine = F.array(*[F.lit(float(x)) for x in self.embed(query)])
+            near = recall_plans.record_vectors(spark, self.sf_dir).where(F.size("vec") == F.size(mine)).select("id", score.cosine(F.col("vec"), mine).alias("sem"))
+            sig = sig.join(near, "id", "left")
+        rows = search.search(search.pool(spark, self.sf_dir, asked, sig), options).where(F.col("pos") <= top_k)
+        return rows.join(found.select("id", "content"), "id").select("id", "pos", "score", "chars", "content").orderBy("pos")
 
     def task(self, ref: str) -> DataFrame:
         return maintain.recall_by_task(maintenance.store(self.spark, self.sf_dir), ref)

@@ -138,7 +138,7 @@ def spread_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = search.pool(spark, sf_dir).select("query_id", "id").join(recall._vectors(spark, sf_dir), "id")
+    p = search.pool(spark, sf_dir).select("query_id", "id").join(recall.record_vectors(spark, sf_dir), "id")
     return graph.similar(p, "query_id").select("query_id", "src", "dst", F.round("weight", 5).alias("weight"))
 
 

@@ -58,7 +58,7 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.contrasts(_ranked(spark, sf_dir))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vec): the representative vector of a record: its own, else that of its first chunk."""
     v = table(spark, sf_dir, "vector_entry").where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct("vec"), "seq").alias("e")).select("key", "e.vec").where((F.size("vec") > 0) & ~F.exists("vec", F.isnan))
     own = v.select(ref_key(F.col("key")).alias("id"), "vec", F.when(F.col("key").rlike(r"#c\d+$"), F.regexp_extract("key", r"#c(\d+)$", 1).cast("int")).otherwise(-1).alias("k"))
@@ -66,11 +66,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.suppressed(_ranked(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left").select("query_id", "id", "pos", "layer", "trace", "vec"))
+    return recall.suppressed(_ranked(spark, sf_dir).join(record_vectors(spark, sf_dir), "id", "left").select("query_id", "id", "pos", "layer", "trace", "vec"))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.clusters(P.pool(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left"))
+    return recall.clusters(P.pool(spark, sf_dir).join(record_vectors(spark, sf_dir), "id", "left"))
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "vector_entry").where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct("vec"), "seq").alias("e")).select(ref_key(F.col("key")).alias("id"), "e.vec").where((F.size("vec") > 0) & ~F.exists("vec", F.isnan))
     p = P.pool(spark, sf_dir).select("query_id", "id", "sem")
     best = p.where(F.col("sem").isNotNull()).groupBy("query_id").agg(F.min_by("id", F.struct(-F.col("sem"), "id")).alias("lead_id"))
-    lead = best.join(_vectors(spark, sf_dir).select(F.col("id").alias("lead_id"), F.col("vec").alias("lead")), "lead_id")
+    lead = best.join(record_vectors(spark, sf_dir).select(F.col("id").alias("lead_id"), F.col("vec").alias("lead")), "lead_id")
     pairs = p.join(v, "id").join(lead, "query_id").where(F.size("vec") == F.size("lead"))
     return pairs.groupBy("query_id", "id").agg(F.round(F.max(score.cosine(F.col("vec"), F.col("lead"))), 5).alias("similarity"))
 

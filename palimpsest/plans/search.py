@@ -45,8 +45,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("query_id", "id").agg(F.max_by(body, "seq").alias("b")).select("query_id", "id", "b.*")
 
 
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each candidate of each query, with the statistics of the query's pool."""
+def pool(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, sig: DataFrame | None = None) -> DataFrame:
+    """One row for each candidate of each query, with the statistics of the query's pool. asked and sig stand in for the
+    tables recall_query and score_signal where given: sig(query_id, id, sem, rerank) names the candidates."""
     m = F.col("metadata")
     keep = {c: F.col(c) for c in ("id", "content", "turn", "accessLog", "scope", "layer", "kind", "sourceRefs", "supersededBy")} | {
         "storageStrength": F.coalesce("storageStrength", F.lit(0.0)), "retrievalStrength": F.coalesce("retrievalStrength", F.lit(0.0)), "archived": F.coalesce("archived", F.lit(False)),
@@ -55,17 +56,19 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = records(spark, sf_dir, keep).where(F.col("supersededBy").isNull() & (F.trim("content") != ""))
     # What depends on the question alone is worked out once per question, below the join.
     ask = F.col("query")
-    q = table(spark, sf_dir, "recall_query").select(
+    q = (table(spark, sf_dir, "recall_query") if asked is None else asked).select(
         "query_id", "query", "options", "question_date", "top_k", F.col("semanticWeight").alias("w"), text.question_class(ask).alias("class"), temporal.expressions(ask).alias("exprs"), temporal.question_date(F.col("question_date")).alias("asked_on"),
         temporal.query_anchor(ask).alias("anchor"), (ask.rlike(V.CURRENT_STATE) & ~ask.rlike(V.PAST_QUESTION)).alias("current"),
     )
-    sig = signals(spark, sf_dir).select("query_id", "id", F.when(~F.isnan("semanticScore"), F.col("semanticScore")).alias("sem"), F.col("rerankScore").alias("rerank"))
+    sig = sig if sig is not None else signals(spark, sf_dir).select("query_id", "id", F.when(~F.isnan("semanticScore"), F.col("semanticScore")).alias("sem"), F.col("rerankScore").alias("rerank"))
     rows = sig.join(active, "id").join(q, "query_id")
     stats = rows.groupBy("query_id").agg(
         (F.max("turn") + 1).alias("now"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("session", F.lit("?"))).alias("sessions"), F.sum(F.length("content")).alias("chars"),
         F.avg(F.col("content").rlike(r"(?i)\nassistant:|^assistant:").cast("int")).alias("voice"), F.coalesce(F.max("date"), F.lit("")).alias("newest"), F.coalesce(F.bool_or(F.length("date") >= 8), F.lit(False)).alias("dated"),
     )
-    return rank.with_access(rows.join(stats, "query_id"), rank.fold_access(table(spark, sf_dir, "access_log")), F.col("now"))
+    # Only the candidates' accesses are folded.
+    log = table(spark, sf_dir, "access_log").join(sig.select("id").distinct(), "id", "left_semi")
+    return rank.with_access(rows.join(stats, "query_id"), rank.fold_access(log), F.col("now"))
 
 
 def resolved_budget(o: Options):
@@ -295,3 +298,6 @@ SQL |= {
     "pool_stats": f"""with {S.POOL}, c as (select *, {S.question_class('query')} class, {S.trace('session', 'content')} trace from pool)
 select query_id, any_value(now) as now, count(*) n, count(distinct trace) traces, count(*) filter (where trace is null) untraced, any_value(sessions) sessions, any_value(chars) chars, any_value(newest) newest, any_value(dated) dated, count(sem) with_vector, count(sem) / count(*)::double >= 0.9 covered, any_value(sessions <= 2 and chars > 20000 and voice < 0.2 and class <> 'task') reference_doc, any_value({_budget_sql(Options())}) budget from c group by 1""",
 }
+_RUN = "(select query_id, list(id order by pos) ids, sum(chars) chars from ({0}) group by 1)"
+SQL["drift"] = f"""select query_id, coalesce(a.ids = b.ids, false) same_order, coalesce(abs(a.chars - b.chars) <= 0.02 * greatest(a.chars, b.chars), false) same_size, coalesce(len(a.ids), 0)::int n_a, coalesce(len(b.ids), 0)::int n_b
+from {_RUN.format(SQL['search_policy_1'])} a full join {_RUN.format(SQL['search_policy_5'])} b using (query_id)"""

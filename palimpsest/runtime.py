@@ -22,11 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def drop_shared(spark: SparkSession, path: str) -> None:
+    """Removes what a query has written below the shared folder and no longer needs."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and forget how it was made; survives lost executors."""
     spark = df.sparkSession

@@ -14,9 +14,9 @@ VECTOR = "id string, vec array<float>"
 TODO = "schema int, items array<struct<num:int,subject:string,status:string>>"
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, version: int | None = 1) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str, version: int | None = 1, files: str = "*.jsonl") -> DataFrame:
     """Rows of JSON lines with their file; blank and corrupt lines and other schema versions are skipped; no files, no rows."""
-    reader = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", files)
     try:
         rows = reader.json(path)
     except Exception as e:  # a store that was never written
@@ -41,8 +41,15 @@ def read_derived(spark: SparkSession, root: str, layer: str) -> DataFrame:
     return read_records(spark, root, layer)
 
 
-def read_todo_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.schema(TODO).option("multiLine", True).json(path)
+def read_written(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """Rows that write_records has written, layers being the names of their folders."""
+    rows = read_lines(spark, path, f"{RECORD}, scope string", files="*.json")
+    return rows.where(F.col("layer") == layer) if layer else rows
+
+
+def read_todo_snapshot(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Items of a snapshot, of several if each is a line of its own; other schema versions are skipped."""
+    doc = spark.read.schema(TODO).option("multiLine", whole_files).json(path)
     return doc.where(F.col("schema") == 1).select(F.explode("items").alias("i")).select("i.*")
 
 
@@ -55,5 +62,6 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines, one folder per scope and layer."""
-    df.write.mode("append").partitionBy("scope", "layer").json(path)
+    """Rows as JSON lines, one folder per layer. The scope is a field: scopes are many and most of them small, and a file for
+    each would be more files than rows are worth."""
+    df.write.mode("append").partitionBy("layer").json(path)

@@ -25,7 +25,7 @@ def first_arrivals(df: DataFrame, keep: dict[str, Column] | list[str], key: str
     """
     keep = {c: F.col(c) for c in keep} if isinstance(keep, list) else keep
     body = F.struct(*[c.alias(n) for n, c in keep.items()])
-    order = F.struct(F.col(at).isNull().alias("n"), F.col(at).alias("t"), F.xxhash64(F.to_json(body)).alias("h"))
+    order = F.struct(F.col(at).isNull().alias("n"), F.col(at).alias("t"), F.xxhash64(body).alias("h"))
     rows = df.where((F.col("schema") == SCHEMA_VERSION) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), body.alias("_b"), order.alias("_o"))
     return rows.groupBy("_k").agg(F.min_by("_b", "_o").alias("_b")).select(F.col("_k").alias(key), *[F.col(f"_b.{n}").alias(n) for n in keep if n != key])
 

@@ -78,3 +78,28 @@ def note_lines(notes: DataFrame) -> DataFrame:
     name = F.concat(F.regexp_replace(F.trim(F.lower("category")), r"[^\w\-]+", "-"), F.lit(".md"))
     rows = notes.groupBy(name.alias("file")).agg(F.first("category").alias("category"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: F.concat(F.lit("- "), x["line"])).alias("l"))
     return rows.select("file", F.concat(F.lit("# "), "category", F.lit("\n"), F.array_join("l", "\n"), F.lit("\n")).alias("text"))
+
+
+def write_notes(files: DataFrame, folder: str) -> int:
+    """files(file, text) written as files of that name below the shared folder, whole ones at a time; how many there are.
+    A task that runs again writes the same."""
+    import uuid
+
+    import pandas as pd
+
+    def write(batches):
+        import posixpath
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, text in zip(pdf["file"], pdf["text"], strict=True):
+                path, own = posixpath.join(root, name), posixpath.join(root, f".{name}.{uuid.uuid4().hex}")
+                with store.open_output_stream(own) as out:
+                    out.write(text.encode())
+                store.move(own, path)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("file", "text").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
