@@ -52,27 +52,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The distinct runs of `width` words, as sorted 64-bit numbers."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `width` words of each text, as sorted 64-bit numbers one text after another, and how many each
+    has. hashes: of all words of all texts; sizes: words of each text, at least `width`."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    n = max(0, len(hashes) - width + 1)
     h = np.zeros(n, np.uint64)
     for i in range(width):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
-    return np.unique(h)
-
-
-def fingerprint(s: np.ndarray) -> bytes:
-    """A bit of the least value of the set under each of BITS hash functions."""
-    low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
-    best = np.full(BITS, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(low), 1024):
-        h = low[at : at + 1024, None] * _SEEDS[0]
+    whole = text[:n] == text[width - 1 :]
+    h, text = h[whole], text[:n][whole]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])] if len(h) else np.zeros(0, bool)
+    return h[new], np.bincount(text[new], minlength=len(sizes))
+
+
+def fingerprints(runs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set, a bit of its least value under each of BITS hash functions."""
+    low = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
+    best = np.full((len(sizes), BITS), np.uint32(0xFFFFFFFF))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(low), 4096):
+        h = low[at : at + 4096, None] * _SEEDS[0]
         h ^= h >> np.uint32(15)
         h *= _SEEDS[1]
-        best = np.minimum(best, h.min(0))
-    return np.packbits((mix(best.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
+        some = text[at : at + 4096]
+        first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+        best[some[first]] = np.minimum(best[some[first]], np.minimum.reduceat(h, first, axis=0))
+    bits = np.packbits((mix(best.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
+    return [x.tobytes() for x in bits]
 
 
 class BKTree:
@@ -115,24 +124,25 @@ def _sets(rows: DataFrame, width: int, least_words: int) -> DataFrame:
         known: dict[str, int] = {}
         import xxhash
 
-        for b in batches:
-            ids, runs, prints = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words(text)
-                if len(w) < max(least_words, width):
-                    continue
-                if len(known) > 1 << 18:
-                    known.clear()
-                for x in w:
-                    if x not in known:
+        for big in batches:
+            for at in range(0, big.num_rows, 1000):
+                b = big.slice(at, 1000)
+                ids, hashes, sizes = [], [], []
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    w = words(text)
+                    if len(w) < max(least_words, width):
+                        continue
+                    if len(known) > 1 << 18:
+                        known.clear()
+                    for x in set(w).difference(known):
                         known[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
-                s = shingles(np.array([known[x] for x in w], np.uint64), width)
-                ids.append(i)
-                runs.append(s.view(np.int64))
-                prints.append(fingerprint(s))
-            offsets = np.r_[0, np.cumsum([len(x) for x in runs])].astype(np.int32)
-            flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(prints, pa.binary())], names=["id", "runs", "print"])
+                    ids.append(i)
+                    hashes += [known[x] for x in w]
+                    sizes.append(len(w))
+                if ids:
+                    runs, n = shingles(np.array(hashes, np.uint64), np.array(sizes), width)
+                    offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs.view(np.int64))), pa.array(fingerprints(runs, n), pa.binary())], names=["id", "runs", "print"])
 
     return spread(rows).mapInArrow(run, "id string, runs array<bigint>, print binary")
 
@@ -192,21 +202,27 @@ def _search(shards: DataFrame, within: int) -> DataFrame:
         tree, at, seen = BKTree(), None, set()
         for batch in batches:
             left, right = [], []
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for shard, a, b, second, name, print_ in zip(*cols, strict=True):
-                if (shard, a, b) != at:
-                    tree, at = BKTree(), (shard, a, b)
-                x = int.from_bytes(print_)
-                for other in tree.near(x, within):
-                    pair = (name, other) if name < other else (other, name)
-                    if pair not in seen:
-                        seen.add(pair)
-                        left.append(pair[0])
-                        right.append(pair[1])
-                if a == b or not second:  # of two blocks only the first is in the tree
+            shard, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            new = np.ones(len(shard), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[:1] = at != (shard[0], a[0], b[0]) if len(shard) else False
+            own = ~batch.column(3).to_numpy(zero_copy_only=False) | (a == b)  # of two blocks only the first is in the tree
+            for fresh, name, x, kept in zip(new.tolist(), batch.column(4).to_pylist(), map(int.from_bytes, batch.column(5).to_pylist()), own.tolist(), strict=True):
+                if fresh:
+                    tree = BKTree()
+                elif tree.root is not None:
+                    for other in tree.near(x, within):
+                        pair = (name, other) if name < other else (other, name)
+                        if pair not in seen:
+                            seen.add(pair)
+                            left.append(pair[0])
+                            right.append(pair[1])
+                if kept:
                     tree.add(x, name)
-                if len(seen) > 1 << 18:
-                    seen.clear()
+            if len(shard):
+                at = (shard[-1], a[-1], b[-1])
+            if len(seen) > 1 << 18:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
 
     return sorted_.mapInArrow(run, "x bigint, y bigint").distinct()

@@ -87,3 +87,19 @@ def test_tree_finds_what_a_scan_finds():
     tree.visited = 0
     tree.near(all_[7], 1)
     assert tree.visited < 250  # edges outside of the radius are not followed
+
+
+def test_prints_of_a_batch_are_those_of_each_text():
+    r = random.Random(5)
+    import numpy as np
+
+    texts = [[r.getrandbits(64) for _ in range(n)] for n in (3, 40, 5000, 7, 3)]
+    texts.append(texts[1])
+    flat, sizes = np.array([x for t in texts for x in t], np.uint64), np.array([len(t) for t in texts])
+    runs, n = neardup.shingles(flat, sizes, 3)
+    prints, at = neardup.fingerprints(runs, n), 0
+    for t, k, print_ in zip(texts, n, prints, strict=True):
+        own, m = neardup.shingles(np.array(t, np.uint64), np.array([len(t)]), 3)
+        assert (own == runs[at : at + k]).all() and m[0] == k and neardup.fingerprints(own, m) == [print_]
+        at += k
+    assert prints[1] == prints[5] and neardup.shingles(np.zeros(0, np.uint64), np.zeros(0, int), 3)[0].size == 0
