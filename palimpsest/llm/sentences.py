@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import samples
 from palimpsest.runtime import spread
 
 #: Bounds of the sample the classifier is fitted on: texts, and characters of each (longer texts aren't in the sample).
@@ -307,9 +308,9 @@ def fit(texts: Iterable[str], steps: int = 150, decay: float = 2e-4) -> Model:
 
 
 def fitted(docs: DataFrame, key: str, text: str, fit_texts: int = FIT_TEXTS, fit_chars: int = FIT_CHARS) -> Model:
-    """A model fitted on the first `fit_texts` rows by hash of the key, of those with at most `fit_chars` characters."""
-    rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= fit_chars)).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    return fit([r.t for r in rows.orderBy("h", "t").limit(fit_texts).collect()])
+    """A model fitted on about `fit_texts` rows by hash of the key, those of them with at most `fit_chars` characters."""
+    rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= fit_chars))
+    return fit(samples.by_hash(rows, key, text, fit_texts, docs.count()))
 
 
 def _mapped(docs: DataFrame, key: str, text: str, model: Model, whole: bool) -> DataFrame:

@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import samples
 from palimpsest.runtime import cut, spread
 
 DIRECTIONS, CONFIDENCE, SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS = 16, 0.999, 20_000, 50_000, 512
+#: Other blocks that a query is sent to in the rounds of a search for neighbours; None: all that may still hold a nearer one.
+ROUNDS = (2, None)
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -126,9 +129,12 @@ def within(q: np.ndarray, qp: np.ndarray, d: np.ndarray, dp: np.ndarray, similar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def nearest(q: np.ndarray, qp: np.ndarray, d: np.ndarray, dp: np.ndarray, k: int, chi2: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of d, cosines) of the k most similar to each row of q, best first; -1 where there are fewer."""
+def nearest(q: np.ndarray, qp: np.ndarray, d: np.ndarray, dp: np.ndarray, k: int, chi2: float, same: bool, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of d, cosines) of the k most similar to each row of q, best first; -1 where there are fewer. least: a cosine of
+    each row of q up to which nothing is wanted."""
     best, who = np.full((len(q), k), -2.0, np.float32), np.full((len(q), k), -1)
+    if least is not None:
+        best[:] = least[:, None]
     q32, d32 = q.astype(np.float32), d.astype(np.float32)
     parts = leaves(dp)
     boxes = [(dp[r].min(0), dp[r].max(0)) for r in parts]
@@ -163,9 +169,9 @@ class Index:
         spark = rows.sparkSession
         rows = usable(rows.select(F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec")).where(F.col(key).isNotNull()), "vec", dim)
         rows = cut(spread(rows))
-        self.n, self.dim, self.m = rows.count(), dim, m
+        self.n, self.dim, self.m, self.block_rows = rows.count(), dim, m, block_rows
         gauss = directions(dim, m, seed)
-        taken = np.array([r.vec for r in rows.orderBy(F.xxhash64("key")).limit(sample_rows).collect()], float).reshape(-1, dim)
+        taken = np.array(samples.by_hash(rows, "key", "vec", sample_rows, self.n), float).reshape(-1, dim)
         cells = max(4, -(-self.n // block_rows)) if self.n else 1
         splits = Splits(unit(taken) @ gauss if len(taken) else np.zeros((0, m)), cells)
 
@@ -186,30 +192,43 @@ class Index:
         self.rows = cut(placed.join(F.broadcast(meta), "cell").select("key", "vec", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("block")))  # meta: one row per cell
         self.boxes, self.gauss, self.seed = [splits.boxes[c] for c, *_ in self.blocks], gauss, seed
 
-    def _tasks(self, stop: float, both_ways: bool) -> DataFrame:
-        """The rows of each pair of blocks that may hold neighbours: (a, b, side, key, vec)."""
+    def _own(self) -> DataFrame:
+        return self.rows.select("block", F.lit(0).alias("part"), F.lit(0).alias("side"), "key", "vec", F.lit(None).cast("float").alias("least"))
+
+    def _sent(self, queries: DataFrame, reach2, first: int | None, skip: int, later_only: bool) -> DataFrame:
+        """Each of queries(key, vec, block, least) at the other blocks within its reach in the projection, nearest first, from
+        number `skip` up to `first` more. reach2: squared reach by `least`. later_only: only blocks after its own."""
         lo, hi = (np.array([x[i] for x in self.boxes]).reshape(-1, self.m) for i in (0, 1))
         gauss, dim = self.gauss, self.dim
-        apart = lambda a: (np.maximum(np.maximum(lo[a] - hi, lo - hi[a]), 0) ** 2).sum(1)
-        partners = [np.flatnonzero(apart(a) <= stop) for a in range(len(self.blocks))]
-        partners = partners if both_ways else [x[x >= a] for a, x in enumerate(partners)]
-        asked_by = [[a for a in range(len(partners)) if b in set(partners[a])] for b in range(len(partners))]
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                block = batch.column(2).to_numpy()
-                p = unit(_matrix(batch.column(1), dim)) @ gauss
-                for a in np.unique(block):
-                    own = np.flatnonzero(block == a)
-                    for b in partners[a]:
-                        rows = own[box_distance2(p[own], lo[b], hi[b]) <= stop] if b != a else own
-                        if len(rows):
-                            yield _sent(batch, rows, a, b, 0)
-                    for q in asked_by[a]:
-                        if q != a:
-                            yield _sent(batch, own, q, a, 1)
-
-        return self.rows.mapInArrow(send, "a int, b int, side int, key string, vec array<float>")
+            for big in batches:
+                for at in range(0, big.num_rows, 2048):
+                    batch = big.slice(at, 2048)
+                    p, own, least = unit(_matrix(batch.column(1), dim)) @ gauss, batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+                    far = np.stack([box_distance2(p, lo[b], hi[b]) for b in range(len(lo))], axis=1)
+                    far[np.arange(len(p)), own] = np.inf
+                    if later_only:
+                        far[np.arange(len(lo))[None] < own[:, None]] = np.inf
+                    ok = far <= reach2(least)[:, None]
+                    if first is not None or skip:
+                        place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable")
+                        ok &= (place >= skip) & (place < (len(lo) if first is None else skip + first))
+                    row, block = np.nonzero(ok)
+                    for x in range(0, len(row), 8192):
+                        take = pa.array(row[x : x + 8192])
+                        yield pa.RecordBatch.from_arrays([pa.array(block[x : x + 8192].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take)], names=["block", "key", "vec", "least"])
+
+        return queries.select("key", "vec", "block", F.col("least").cast("float").alias("least")).mapInArrow(send, "block int, key string, vec array<float>, least float")
+
+    def _met(self, sent: DataFrame) -> DataFrame:
+        """(block, part, side, key, vec, least): queries with the rows of the block they are sent to. A block that many are sent to
+        meets them in several parts, each with all of its rows."""
+        sent = cut(sent)
+        parts = sent.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("parts"))  # one row per block
+        queries = sent.join(F.broadcast(parts), "block").select("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "key", "vec", "least")
+        rows = self.rows.join(F.broadcast(parts), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "key", "vec", F.lit(None).cast("float").alias("least"))
+        return queries.unionByName(rows)
 
     def pairs(self, similarity: float, confidence: float = CONFIDENCE) -> DataFrame:
         """(key_a, key_b, cosine), key_a < key_b, of all pairs with at least the cosine; no cap on partners.
@@ -226,36 +245,49 @@ class Index:
             swap = np.array([y.encode() < x.encode() for x, y in zip(a, b, strict=True)], bool)
             return pa.table({"key_a": pa.array(np.where(swap, b, a), pa.string()), "key_b": pa.array(np.where(swap, a, b), pa.string()), "cosine": pa.array(cos, pa.float64())})
 
-        return self._tasks(stop, False).groupBy("a", "b").applyInArrow(run, "key_a string, key_b string, cosine double")
+        there = self.rows.withColumn("least", F.lit(None).cast("float"))
+        met = self._own().unionByName(self._met(self._sent(there, lambda x: np.full(len(x), stop), None, 0, True)).withColumn("part", F.col("part") + 1))
+        return met.groupBy("block", "part").applyInArrow(run, "key_a string, key_b string, cosine double")
+
+    def neighbours(self, k: int, confidence: float = CONFIDENCE, rounds: tuple[int | None, ...] = ROUNDS) -> DataFrame:
+        """(key, neighbour, cosine, place): the k most similar other keys of every key, ties by key.
 
-    def neighbours(self, k: int, confidence: float = CONFIDENCE) -> DataFrame:
-        """(key, neighbour, cosine, place): the k most similar other keys of every key, ties by key."""
+        A query is searched in its own block first, then in rounds in the others, nearest first, that the chi-square test
+        doesn't rule out at the distance of its k-th best of all rounds before.
+        """
         dim, gauss, chi2 = self.dim, self.gauss, chi2_quantile(confidence, self.m)
 
         def run(table: pa.Table) -> pa.Table:
             q, d, same = _sides(table, dim)
-            who, sim = nearest(q[1], q[1] @ gauss, d[1], d[1] @ gauss, k, chi2, same)
+            least = None if same else table["least"].to_numpy()[table["side"].to_numpy() == 0].astype(np.float32)
+            who, sim = nearest(q[1], q[1] @ gauss, d[1], d[1] @ gauss, k, chi2, same, None if least is None else np.where(np.isnan(least), np.float32(-2), least)) if len(d[0]) else (np.full((len(q[0]), k), -1), np.full((len(q[0]), k), -2.0))
             ok = who >= 0
-            n = ok.sum(1)
-            offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            offsets = pa.array(np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32))
             return pa.table({"key": pa.array(q[0], pa.string()), "ids": pa.ListArray.from_arrays(offsets, pa.array(d[0][who[ok]], pa.string())), "sims": pa.ListArray.from_arrays(offsets, pa.array(sim[ok].astype(np.float64)))})
 
-        each = self._tasks(math.inf, True).groupBy("a", "b").applyInArrow(run, "key string, ids array<string>, sims array<double>")
-        item = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("far"), x["ids"].alias("id")))
-        # At most k candidates per block; lists are cut to k while they are merged.
-        best = each.select("key", item.alias("c")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
+        def found(met: DataFrame) -> DataFrame:
+            each = met.groupBy("block", "part").applyInArrow(run, "key string, ids array<string>, sims array<double>")
+            item = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("far"), x["ids"].alias("id")))
+            return each.select("key", item.alias("c")).where(F.size("c") > 0)
+
+        def merged(lists: DataFrame) -> DataFrame:  # at most k candidates per block
+            return cut(lists.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c")))
+
+        best, seen = merged(found(self._own())), 0
+        for first in rounds:
+            if len(self.blocks) < 2:
+                break
+            bound = F.when(F.size("c") == k, -F.element_at("c", -1)["far"]).cast("float").alias("least")
+            queries = self.rows.join(best.select("key", bound), "key", "left")
+            reach2 = lambda x: np.where(np.isnan(x), np.inf, chi2 * np.maximum(2 - 2 * x, 0))
+            best = merged(best.unionByName(found(self._met(self._sent(queries, reach2, first, seen, False)))))
+            seen += first or 0
         return best.select("key", F.posexplode("c").alias("p", "x")).select("key", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("p") + 1).alias("place"))
 
 
-def _sent(batch: pa.RecordBatch, rows: np.ndarray, a: int, b: int, side: int) -> pa.RecordBatch:
-    take, n = pa.array(rows), len(rows)
-    const = lambda x: pa.array(np.full(n, x, np.int32))
-    return pa.RecordBatch.from_arrays([const(a), const(b), const(side), batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b", "side", "key", "vec"])
-
-
 def _sides(table: pa.Table, dim: int):
-    same = table.num_rows > 0 and table["a"][0].as_py() == table["b"][0].as_py()
     side = table["side"].to_numpy()
+    same = table.num_rows > 0 and table["least"].null_count == table.num_rows and not side.any()
     keys, vec = np.array(table["key"].to_pylist(), object), unit(_matrix(table["vec"], dim))
     q = (keys[side == 0], vec[side == 0])
     return q, (q if same else (keys[side == 1], vec[side == 1])), same
