@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import cut
 
+#: Rows that are numbered in one task.
+RANGE_ROWS = 2_000_000
+
 
 def source_key(source: Column) -> Column:
     """Sources are equal when letter case, surrounding blanks and `-` versus `_` are ignored; blank ones are none."""
@@ -44,7 +47,7 @@ def rates(targets: dict[str, tuple[float, int]], sizes: dict[str, int], total: f
 def numbered(rows: DataFrame, group: str, order: list[str], parts: int | None = None) -> DataFrame:
     """rows with `rank`, counted from 1 within `group` in the given order, without gathering a group in one task:
     ranges of (group, order) are numbered on their own and moved on by the counts of the ranges before."""
-    parts = parts or max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = parts or max(2, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
     chunks = cut(rows.repartitionByRange(parts, group, *order).withColumn("_chunk", F.spark_partition_id()))
     before = W.partitionBy(group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     base = chunks.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
