@@ -161,3 +161,45 @@ def test_forty_candidates_of_a_scope(spark, monkeypatch):
     monkeypatch.setattr(maintenance, "_folded", lambda *_: spark.createDataFrame([], "id string, extra array<bigint>"))
     got = maintenance.consolidation_candidates(spark, "").collect()
     assert {(r.place, r.id) for r in got} == {(k, f"m{45 - k:02}") for k in range(1, 41)}
+
+
+def test_written_records_and_notes_come_back(spark, tmp_path):
+    from palimpsest.sources import jsonl, sinks
+
+    df = spark.createDataFrame([(1, "a", None, "L0", "x\ny", 1), (1, "b", "s", "L1", None, None), (2, "c", "s", "L1", "old", 3)], "schema int, id string, scope string, layer string, content string, turn bigint")
+    path = f"file://{tmp_path}/store"
+    jsonl.write_records(df, path)
+    (tmp_path / "store" / "layer=L0" / "bad.json").write_text("{ not json\n\n")
+    assert {(r.id, r.scope, r.layer, r.content) for r in jsonl.read_written(spark, path).collect()} == {("a", None, "L0", "x\ny"), ("b", "s", "L1", None)}
+    assert [r.id for r in jsonl.read_written(spark, path, "L1").collect()] == ["b"] and jsonl.read_written(spark, f"file://{tmp_path}/none").count() == 0
+    lines = spark.createDataFrame([("My Notes", "one", "1"), ("My Notes", "two", "2"), ("b", "three", "1")], "category string, line string, seq string")
+    for _ in range(2):  # a task that runs again writes the same
+        assert sinks.write_notes(sinks.note_lines(lines), f"file://{tmp_path}/notes") == 2
+    got = {r.id: r.content for r in jsonl.read_notes(spark, f"file://{tmp_path}/notes").collect()}
+    assert got == {"note:my-notes": "# My Notes\n- one\n- two\n", "note:b": "# b\n- three\n"}
+    assert sinks.write_notes(sinks.note_lines(lines.limit(0)), f"file://{tmp_path}/empty") == 0
+
+
+def test_response_text(spark):
+    from palimpsest.operators import replies
+
+    said = ['{"content":"plain"}', '{"content":[{"type":"text","text":"a"},{"type":"tool","text":"x"},{"type":"text"},{"type":"text","text":"b"}]}', '{"content":[]}', "{}", "no json", None]
+    df = spark.createDataFrame([(x,) for x in said], "r string")
+    assert [x.t for x in df.select(replies.response_text(df.r).alias("t")).collect()] == ["plain", "a\nb", "", "", "", ""]
+    with pytest.raises(Exception, match="completion failed: quota"):
+        spark.createDataFrame([('{"stopReason":"error","errorMessage":"quota"}',)], "r string").select(replies.response_text(F.col("r"))).collect()
+
+
+def test_session_sample_and_xml_facts(spark):
+    from palimpsest.functions import render
+    from palimpsest.operators import rank
+
+    rows = spark.createDataFrame([("s", f"r{i:03}", i, None if i % 2 else f"x{i // 8}") for i in range(40)], "scope string, id string, turn bigint, session string")
+    got = [r.id for r in rank.session_sample(rows, ["scope"], "session", ["turn"], most=7).orderBy("number").collect()]
+    assert got == ["r000", "r001", "r002", "r003", "r004", "r005", "r008"]
+    assert rank.session_sample(rows.limit(0), ["scope"], "session", ["turn"]).count() == 0
+    facts = [("q", "a", 1, "L0", None, "user: First. Second.", "2025-01-02 10:00"), ("q", "b", 2, "L1", ["persona"], "Likes tea a lot", None), ("q", "c", 3, "L1", [], "Knows it all! Yes", ""), ("q", "d", 4, "L0", None, "no", None), ("q", "e", 5, "L0", None, None, None)]
+    df = spark.createDataFrame(facts, "query_id string, id string, pos int, layer string, tags array<string>, content string, date string")
+    out = render.xml_facts(df, ["query_id"], "pos").orderBy("number").collect()
+    assert [(r.id, r.category, r.line) for r in out] == [("c", "semantic", "    -Knows it all"), ("a", "episodic", "    -[2025-01-02] First"), ("b", "core", "    -Likes tea a lot")]
+    assert [r.id for r in render.xml_facts(df, ["query_id"], "pos", 70).collect()] == ["c"]
