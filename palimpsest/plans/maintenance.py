@@ -176,7 +176,7 @@ g as (select scope, domain, count(*) n, max(turn) last_turn from h group by 1, 2
 select scope, domain, n, last_turn, place, round(c, 6) confidence from (select *, row_number() over (partition by scope order by round(c, 9) desc, domain) place from c) where place <= 6""",
     "consolidation_candidates": f"""with {_R}, used as (select distinct {_KEY.format('ref')} id from (select unnest(coalesce(metadata.consolidatedIds, sourceRefs)) ref from r)),
 c as (select scope, id, turn, case when len(coalesce(accessLog, [])) + len(coalesce(turns, [])) > 0 then 0 when category in ('lesson', 'error') then 1 else 2 end priority from r left join acc using (id) where supersededBy is null and not arch and coalesce(metadata.origin, '') <> 'consolidation' and id not in (select id from used where id is not null))
-select scope, id, priority, place from (select *, row_number() over (partition by scope order by priority, turn desc, id) place from c) where place <= 5""",
+select scope, id, priority, place from (select *, row_number() over (partition by scope order by priority, turn desc, id) place from c) where place <= 40""",
     "deep_selection": f"""with {_R}, a as (select *, {_TASK} task from r where supersededBy is null), enough as (select task from a where layer = 'L0' and task <> '' group by 1 having count(*) >= 3),
 u as (select 'verify' as action, scope, id, row_number() over (partition by scope order by id) place, 3 k from a where layer = 'L1' and not coalesce(metadata.verified, false)
  union all select 'enrich', scope, id, row_number() over (partition by scope order by id), 2 from a where layer = 'L2' and not coalesce(metadata.enriched, false) and task in (select task from enough)
