@@ -16,8 +16,10 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import inspect
 import random
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -703,12 +705,15 @@ _FITTED: dict[str, Field] = {}
 def trained(spark: SparkSession, lexicon_rows: Iterable[tuple[str, str]]) -> Field:
     """The field of a lexicon: fitted once, then taken from the shared folder."""
     names = sorted(set(lexicon_rows))
-    key = hashlib.sha256(repr((names, SCALE, SEEDS, STRANGE, labelled.FRAMES, labelled.SHARE, labelled.PLAIN, labelled.CUES, LABELS)).encode()).hexdigest()[:24]
+    made_by = inspect.getsource(labelled) + inspect.getsource(sys.modules[__name__])  # another version's weights don't fit
+    key = hashlib.sha256((repr(names) + made_by).encode()).hexdigest()[:24]
     if key not in _FITTED:
         path = f"{shared_dir(spark)}/pii-{key}"
         try:
             rows = spark.read.parquet(path).collect()  # one row per feature, of a table of bounded size
         except AnalysisException:
+            rows = []
+        if sum(r[0] == "t" for r in rows) != len(LABELS) + 1:  # none yet, or one that is being written
             field = learn(names)
             rows = [("t", f"{i}", x.tolist()) for i, x in enumerate(field.trans)] + [("w", f, x.tolist()) for f, x in field.weights.items()]
             spark.createDataFrame(rows, "part string, name string, row array<float>").coalesce(1).write.mode("ignore").parquet(path)
