@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +37,31 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Seconds between two collections of garbage on the driver.
+RELEASE_S = 15
+_released = time.monotonic()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of plans that nothing refers to any more: it does so only when the
+    driver's garbage is collected, which else may be after the query. Queries of a few seconds don't pay for it."""
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    gc.collect()
+    spark._jvm.System.gc()
+    _released = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and forget how it was made; survives lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    release(spark)
+    return done
 
 
 def shuffle_width(df: DataFrame) -> int:

@@ -46,3 +46,44 @@ def test_copies_and_empty(spark):
     assert index.pairs(0.88).count() == 60 * 59 // 2
     empty = vectors.Index(frame(spark, v).limit(0), "key", "vec", 8)
     assert empty.pairs(0.88).count() == 0 and empty.neighbours(3).count() == 0
+
+
+def test_rows_sent_for_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """Pairs come from tables in which a row has one cell each, so a row is sent no oftener when there are four times as many."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 200)
+    sent = []
+    for n in (1000, 4000):
+        v = data(n, seed=n)
+        u = vectors.unit(v)
+        index = vectors.Index(frame(spark, v), "key", "vec", v.shape[1], block_rows=100)
+        seen, held = spark.sparkContext.accumulator(0), vectors.grouped
+
+        def counted(c, *rest, held=held, seen=seen):
+            seen.add(len(c))
+            yield from held(c, *rest)
+
+        monkeypatch.setattr(vectors, "grouped", counted)
+        got = [(r.key_a, r.key_b) for r in index.pairs(0.88).collect()]
+        monkeypatch.setattr(vectors, "grouped", held)
+        want = {(f"k{i:04}", f"k{j:04}") for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.88, 1)), strict=True)}
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.998 * len(want) > 200
+        sent.append(seen.value / n)
+    assert 0 < sent[1] <= 1.8 * sent[0]
+
+
+def test_pairs_of_cells_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    monkeypatch.setattr(vectors, "PASS_ROWS", 1)
+    monkeypatch.setattr(vectors, "PASS_TABLES", 2)
+    v = data(400)
+    u = vectors.unit(v)
+    got = [(r.key_a, r.key_b) for r in vectors.Index(frame(spark, v), "key", "vec", v.shape[1]).pairs(0.8).collect()]
+    assert len(got) == len(set(got))
+    got = set(got)
+    want = {(f"k{i:04}", f"k{j:04}") for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.8, 1)), strict=True)}
+    assert got <= want and len(got) >= 0.998 * len(want)
+
+
+def test_chance_of_a_common_cell():
+    assert abs(vectors.shared_chance(1, 0.88) - (1 - np.arccos(0.88) / np.pi)) < 0.01  # one direction: the sign alone
+    assert vectors.tables(0.5, 0.001) == 10
