@@ -4,8 +4,9 @@ A record is the set of its runs of `width` consecutive words, and has a fingerpr
 follows from the share of runs the two have in common (one bit of each of many min-hashes). BK-trees over fingerprints,
 with children keyed by the integer distance to their parent, are searched within a radius by following only the edges
 whose key is within the radius of the distance at hand. There is a tree for each shard, and a record goes to the shards
-of its rarest runs: as two records of the wanted similarity share at least one of these, no pair is lost by sharding.
-What the trees find is verified exactly. Records with the same set are one class and searched once.
+of its rarest runs: as two records of the wanted similarity share at least one of these, no pair is lost by sharding. For
+that any order of the runs will do that is the same for all records; how frequent a run is, is taken from a sample, so the
+sets are never sent. What the trees find is verified exactly. Records with the same set are one class and searched once.
 
 Shards too large for one tree are split by a second of the rarest runs (two records of the wanted similarity share two
 of one more of them), then by a third, as long as that leaves parts too large; rows so grow with the shard, not with its
@@ -14,6 +15,7 @@ square. What even then stays together is searched in pairs of blocks.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -27,6 +29,10 @@ from palimpsest.runtime import cut, shuffle_width, spread
 BITS, SIGMAS, SHARD_ROWS = 128, 4.5, 4_096
 #: Shards of more than so many trees' rows are split by a further run, MOST_RUNS in all at most; above COPIES a class's copies are paired in parts.
 SPLIT, MOST_RUNS, COPIES = 16, 4, 1_000
+#: Records from which the frequent runs are known, about; classes whose shards are searched at a time, so that their files can be deleted.
+SAMPLE_ROWS, SLICE_ROWS, SLICES = 8_000, 250_000, 8
+#: Pairs whose texts are sent at a time, and the most times.
+PAIR_ROWS, PAIR_SLICES = 500_000, 4
 _WORD = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])[^\W_])+")
 _MASK = (1 << 64) - 1
 
@@ -68,8 +74,8 @@ def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndar
     return h[new], np.bincount(text[new], minlength=len(sizes))
 
 
-def fingerprints(runs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Of each set, a bit of its least value under each of BITS hash functions."""
+def minima(runs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each set its least value under each of BITS hash functions, mixed."""
     low = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
     best = np.full((len(sizes), BITS), np.uint32(0xFFFFFFFF))
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -80,8 +86,28 @@ def fingerprints(runs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         some = text[at : at + 4096]
         first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
         best[some[first]] = np.minimum(best[some[first]], np.minimum.reduceat(h, first, axis=0))
-    bits = np.packbits((mix(best.astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
-    return [x.tobytes() for x in bits]
+    return mix(best.astype(np.uint64))
+
+
+def fingerprints(runs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set, a bit of each of its minima."""
+    return prints_of(minima(runs, sizes))
+
+
+def prints_of(least: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1)]
+
+
+def finer(least: np.ndarray) -> list[bytes]:
+    """Four bits of each minimum: what is alike in these tells more of two sets than one bit does."""
+    b = ((least >> np.uint64(1)) & np.uint64(15)).astype(np.uint8)
+    return [x.tobytes() for x in b[:, ::2] << 4 | b[:, 1::2]]
+
+
+def equal_minima(similarity: float, sigmas: float = SIGMAS) -> int:
+    """So many of two sets' four bits are equal at least but for `sigmas` standard deviations, at the similarity."""
+    p = similarity + (1 - similarity) / 16
+    return max(0, int(BITS * p - sigmas * (BITS * p * (1 - p)) ** 0.5))
 
 
 class BKTree:
@@ -117,58 +143,164 @@ class BKTree:
         node[1].append(item)
 
 
+def _word_runs(batches: Iterator[pa.RecordBatch], width: int, least_words: int) -> Iterator[tuple[pa.RecordBatch, list[int], np.ndarray, np.ndarray]]:
+    """(slice, places in it, runs, sizes) of the texts with enough words; the text is the last column."""
+    known: dict[str, int] = {}
+    import xxhash
+
+    for big in batches:
+        for at in range(0, big.num_rows, 1000):
+            b = big.slice(at, 1000)
+            places, hashes, sizes = [], [], []
+            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                w = words(text)
+                if len(w) < max(least_words, width):
+                    continue
+                if len(known) > 1 << 18:
+                    known.clear()
+                for x in set(w).difference(known):
+                    known[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+                places.append(i)
+                hashes += [known[x] for x in w]
+                sizes.append(len(w))
+            if places:
+                yield b, places, *shingles(np.array(hashes, np.uint64), np.array(sizes), width)
+
+
+def _lists(runs: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(runs.view(np.int64)))
+
+
 def _sets(rows: DataFrame, width: int, least_words: int) -> DataFrame:
     """(id, runs, print) of the rows with enough words; runs are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        import xxhash
-
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                b = big.slice(at, 1000)
-                ids, hashes, sizes = [], [], []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    w = words(text)
-                    if len(w) < max(least_words, width):
-                        continue
-                    if len(known) > 1 << 18:
-                        known.clear()
-                    for x in set(w).difference(known):
-                        known[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
-                    ids.append(i)
-                    hashes += [known[x] for x in w]
-                    sizes.append(len(w))
-                if ids:
-                    runs, n = shingles(np.array(hashes, np.uint64), np.array(sizes), width)
-                    offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs.view(np.int64))), pa.array(fingerprints(runs, n), pa.binary())], names=["id", "runs", "print"])
+        for b, places, runs, n in _word_runs(batches, width, least_words):
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places)), _lists(runs, n), pa.array(fingerprints(runs, n), pa.binary())], names=["id", "runs", "print"])
 
     return spread(rows).mapInArrow(run, "id string, runs array<bigint>, print binary")
 
 
+def rarest(runs: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float, more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, chosen, how many) of each set: the runs that come first in the order of all, at most `more` beyond the first
+    floor((1 - similarity) n) + 1. frequent: sorted runs and how often the sample has them; others come before these."""
+    some, often = frequent
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    df = np.zeros(len(runs), np.int64)
+    if len(some):
+        at = np.minimum(np.searchsorted(some, runs), len(some) - 1)
+        df[some[at] == runs] = often[at[some[at] == runs]]
+    order = np.lexsort((runs, df, text))
+    first = np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64) + 1
+    place = np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = place < (first + more)[text]
+    return first, runs[order][keep], np.minimum(sizes, first + more)
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that two sets or more have, sorted, and how many; at most half of all runs of the sets reach the driver."""
+    t = sets.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).toArrow()
+    run, df = t["run"].to_numpy().view(np.uint64), t["df"].to_numpy()
+    order = np.argsort(run)
+    return run[order], df[order]
+
+
+def _sampled(rows: DataFrame, name: str) -> DataFrame:
+    """About SAMPLE_ROWS of the rows, by the hash of a column; all if there are no more."""
+    total = rows.count()
+    return rows if total <= SAMPLE_ROWS else rows.where(F.pmod(F.xxhash64(name), F.lit(1 << 40)) < int((1 << 40) * SAMPLE_ROWS / total))
+
+
 def _rarest(classes: DataFrame, similarity: float, more: int) -> DataFrame:
-    """(rid, first, runs): each class's rarest shared runs in order. Of n runs, floor((1 - similarity) n) + 1 are `first`;
-    runs has up to `more` beyond these.
+    """(rid, first, runs): each class's rarest runs in order, up to `more` beyond the `first`."""
+    frequent = _frequent(_sampled(classes, "rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, chosen, many = rarest(lists.flatten().to_numpy().view(np.uint64), n, frequent, similarity, more)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first.astype(np.int32)), _lists(chosen, many)], names=["rid", "first", "runs"])
+
+    return classes.select("rid", "runs").mapInArrow(run, "rid bigint, first int, runs array<bigint>")
+
+
+def _prints(rows: DataFrame, width: int, least_words: int, similarity: float) -> DataFrame:
+    """(id, same, size, fine, first, runs, print) of the rows with enough words: a hash of the whole set and its size, the rarest runs."""
+    frequent = _frequent(_sets(_sampled(rows, "id"), width, least_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b, places, runs, n in _word_runs(batches, width, least_words):
+            first, chosen, many = rarest(runs, n, frequent, similarity, MOST_RUNS - 1)
+            ends, least = np.cumsum(n), minima(runs, n)
+            same = [xxhash.xxh3_128_digest(runs[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(places)), pa.array(same, pa.binary()), pa.array(n.astype(np.int32)), pa.array(finer(least), pa.binary()), pa.array(first.astype(np.int32)), _lists(chosen, many), pa.array(prints_of(least), pa.binary())],
+                names=["id", "same", "size", "fine", "first", "runs", "print"],
+            )
+
+    return spread(rows).mapInArrow(run, "id string, same binary, size int, fine binary, first int, runs array<bigint>, print binary")
 
-    A run that one class has can't be shared, so only the others are sorted, and the number that can't is taken off.
-    """
-    each = classes.select("rid", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    # Counts are pre-aggregated; the join's frequent runs are split by adaptive execution, as each has one row on the other side.
-    shared = each.join(each.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "run")
-    mine = shared.groupBy("rid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "run"))).alias("runs"))
-    first = F.floor((1 - similarity) * F.col("n") + 1e-9) + 1 - (F.col("n") - F.size("runs"))
-    return mine.withColumn("first", first.cast("int")).where(F.col("first") > 0).select("rid", "first", F.slice(F.col("runs.run"), 1, F.col("first") + more).alias("runs"))
+
+def _near(found: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, class_x, class_y) of the pairs found(x, y) whose sizes allow the similarity and whose finer prints don't tell against it."""
+    side = lambda n: names.select(F.col("rid").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "size", "fine")])
+    fits = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
+    pairs = found.join(side("x"), "x").join(side("y"), "y").where(fits).select("x", "y", "class_x", "class_y", "fine_x", "fine_y")
+    least = equal_minima(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
+            apart = p ^ q
+            ok = pa.array(((apart & 15) == 0).sum(1) + ((apart & 240) == 0).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(4)], names=["x", "y", "class_x", "class_y"])
+
+    return pairs.mapInArrow(run, "x bigint, y bigint, class_x string, class_y string")
+
+
+def _verified(near: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b, similarity), a < b, of the pairs near(x, y, class_x, class_y) whose sets have the similarity. Texts are sent once,
+    to the pairs that they are in."""
+    ends = near.select("x", "y", F.explode(F.array(F.struct(F.col("x").alias("rid"), F.col("class_x").alias("class")), F.struct(F.col("y").alias("rid"), F.col("class_y").alias("class")))).alias("e"))
+    ends = ends.select("x", "y", "e.rid", "e.class").join(rows, F.col("class") == F.col("id"))
+    end = lambda side, what: F.first(F.when(F.col("rid") == F.col(side), F.col(what)), ignorenulls=True)
+    both = ends.groupBy("x", "y").agg(*[end(side, what).alias(f"{what}_{side}") for what in ("class", "text") for side in ("x", "y")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
+                sides = [[None] * b.num_rows for _ in range(2)]
+                for side in (0, 1):
+                    column = pa.RecordBatch.from_arrays([b.column(2 + side)], names=["text"])
+                    for _, places, runs, n in _word_runs(iter([column]), width, 0):
+                        for place, part in zip(places, np.split(runs, np.cumsum(n)[:-1]), strict=True):
+                            sides[side][place] = part
+                share = [len(c := np.intersect1d(p, q, assume_unique=True)) / (len(p) + len(q) - len(c)) for p, q in zip(*sides, strict=True)]
+                ok = pa.array(np.array(share) >= similarity)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(share, pa.float64()).filter(ok)], names=["a", "b", "similarity"])
+
+    alike = both.select("class_x", "class_y", "text_x", "text_y").mapInArrow(run, "a string, b string, similarity double")
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     """(shard, a, b, second, rid, print): each class at the shards of its rarest runs, those that no other has left out."""
-    rare = cut(_rarest(classes, similarity, MOST_RUNS - 1))
+    return _placed(cut(_rarest(classes, similarity, MOST_RUNS - 1)), classes.select("rid", "print"), shard_rows)
+
+
+def _placed(rare: DataFrame, prints: DataFrame, shard_rows: int, slices: int = 1, number: int = 0) -> DataFrame:
+    """Of _shards, those of one of the slices of all runs."""
     at = rare.select("rid", F.posexplode(F.slice("runs", 1, F.col("first"))).alias("last", "shard"))
+    if slices > 1:
+        at = at.where(F.pmod(F.xxhash64("shard"), F.lit(slices)) == number)
     done = []
     for runs in range(1, MOST_RUNS + 1):
-        at = cut(at)
-        load = at.groupBy("shard").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > 1)
+        at = cut(at) if runs > 1 else at
+        load = cut(at.groupBy("shard").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > 1))
         large = load.where(F.col("load") > SPLIT * shard_rows)
         if runs == MOST_RUNS or large.isEmpty():
             done.append(at.join(load, "shard"))
@@ -181,7 +313,7 @@ def _shards(classes: DataFrame, similarity: float, shard_rows: int) -> DataFrame
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    placed = placed.join(classes.select("rid", "print"), "rid")
+    placed = placed.join(prints, "rid")
     blocks = F.ceil(F.col("load") / shard_rows).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     low, high = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
@@ -236,19 +368,24 @@ def links(items: DataFrame, key: str, text: str, similarity: float = 0.8, width:
     a run has; very long texts count whole. Extra columns are ignored. Empty tables give no rows.
     """
     rows = items.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    sets = cut(_sets(rows, width, least_words))
-    same = [F.xxhash64("runs"), F.hash("runs"), F.size("runs")]
-    tagged = sets.select("id", *[x.alias(f"h{i}") for i, x in enumerate(same)])
-    names = tagged.groupBy("h0", "h1", "h2").agg(F.min("id").alias("class"))
-    members = cut(tagged.join(names, ["h0", "h1", "h2"]).select("class", "id"))
+    sets = cut(_prints(rows, width, least_words, similarity))
+    same = sets.groupBy("same", "size").agg(F.min("id").alias("class"))
+    members = cut(sets.select("id", "same", "size").join(same, ["same", "size"]).select("class", "id"))
     # Shuffles carry a class's number, fixed once it is written, instead of its name.
-    classes = cut(sets.join(members.where(F.col("class") == F.col("id")).select("class"), F.col("id") == F.col("class")).select("class", "runs", "print").withColumn("rid", F.monotonically_increasing_id()))
-    found = cut(_search(_shards(classes, similarity, shard_rows), radius(similarity)))
-    runs = lambda n, side: classes.select(F.col("rid").alias(n), F.col("class").alias(side), F.col("runs").alias(f"runs_{side}"))
-    common = F.size(F.array_intersect("runs_a", "runs_b"))
-    share = common / (F.size("runs_a") + F.size("runs_b") - common)
-    alike = found.join(runs("x", "a"), "x").join(runs("y", "b"), "y").withColumn("similarity", share).where(F.col("similarity") >= similarity)
-    return members, cut(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
+    classes = cut(sets.join(members.where(F.col("class") == F.col("id")).select("class"), F.col("id") == F.col("class")).select("class", "size", "fine", "first", "runs", "print").withColumn("rid", F.monotonically_increasing_id()))
+    del sets, same
+    near, slices = [], min(SLICES, -(-classes.count() // SLICE_ROWS) or 1)
+    for i in range(slices):
+        found = cut(_search(_placed(classes.select("rid", "first", "runs"), classes.select("rid", "print"), shard_rows, slices, i), radius(similarity)))
+        near.append(cut(_near(found, classes, similarity)))
+    del classes, found
+    near = functools.reduce(DataFrame.unionByName, near)
+    near, alike = cut(near.distinct()) if slices > 1 else near, []
+    slices = min(PAIR_SLICES, -(-near.count() // PAIR_ROWS) or 1)
+    for i in range(slices):
+        some = near.where(F.pmod(F.xxhash64("x", "y"), F.lit(slices)) == i)
+        alike.append(cut(_verified(some, rows, width, similarity)))
+    return members, functools.reduce(DataFrame.unionByName, alike)
 
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def drop_shared(spark: SparkSession, path: str) -> None:
 
 
 #: Seconds between two collections of garbage on the driver.
-RELEASE_S = 15
+RELEASE_S = 5
 _released = time.monotonic()
 
 

@@ -103,3 +103,29 @@ def test_prints_of_a_batch_are_those_of_each_text():
         assert (own == runs[at : at + k]).all() and m[0] == k and neardup.fingerprints(own, m) == [print_]
         at += k
     assert prints[1] == prints[5] and neardup.shingles(np.zeros(0, np.uint64), np.zeros(0, int), 3)[0].size == 0
+
+
+def test_slices_lose_no_pair(spark, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(list(docs.items()), "id string, content string")
+    want, _ = brute(docs, 12, 0.6, 3)
+    for name, value in (("SLICE_ROWS", 60), ("SLICES", 3), ("PAIR_ROWS", 40), ("SAMPLE_ROWS", 50)):
+        monkeypatch.setattr(neardup, name, value)
+    got = [(r.id_a, r.id_b) for r in neardup.expand(*neardup.links(df, "id", "content", 0.6, 3, 12)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_whole_sets_are_not_kept(spark, monkeypatch):
+    """No table that is written or sent between stages has a text's whole set of runs: only its rarest runs."""
+    kept, held = [], neardup.cut
+
+    def cut(df):
+        done = held(df)
+        kept.append((done.columns, max((r.n or 0 for r in done.select(F.max(F.size("runs")).alias("n")).collect()), default=0) if "runs" in done.columns else 0))
+        return done
+
+    monkeypatch.setattr(neardup, "cut", cut)
+    r = random.Random(6)
+    df = spark.createDataFrame([(f"d{i}", " ".join(f"u{r.random()}" for _ in range(300))) for i in range(5)], "id string, content string")
+    neardup.links(df, "id", "content", 0.6, 3, 12)
+    assert any("runs" in c for c, _ in kept) and max(n for _, n in kept) <= 0.4 * 298 * 2.1 + neardup.MOST_RUNS < 298
