@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions import vocabulary as V
+from palimpsest.operators import lexical
 from palimpsest.runtime import cut
 
+#: Records that one task holds against all queries.
+BLOCK = 65536
 
-def lexical_top(queries: DataFrame, records: DataFrame, k: int, salts: int = 8) -> DataFrame:
-    """(query_id, id, shared, overlap, pos): the k records that share most with each query, by an inverted index.
 
-    queries(query_id, query), records(id, content). Only pairs that share a token meet; a token's list of records is
-    spread over `salts` tasks by the record, so that a token in a third of all rows stays bounded. Counting is partly
-    done before the second shuffle. Records that share nothing aren't listed. Ties are ordered by the id.
+def lexical_top(queries: DataFrame, records: DataFrame, k: int, about: int = 0) -> DataFrame:
+    """(query_id, id, shared, overlap, pos): the k records that share most with each query.
+
+    queries(query_id, query), records(id, content). Records are dealt out to blocks, one for each BLOCK of the `about` records
+    there are; all queries meet each block in one task, which sends the k best of the block for each query. So neither the
+    pairs that share a token nor the lists of tokens by record are ever rows. Records that share nothing aren't listed. Ties
+    are ordered by the id.
     """
-    q = queries.select("query_id", text.tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    r = records.select("id", text.tokens(F.col("content")).alias("t")).select("id", F.size("t").alias("nr"), F.explode("t").alias("token"))
-    r = r.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = q.join(r, ["token", "salt"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("shared"), F.first("nq").alias("nq"), F.first("nr").alias("nr"))
-    over = F.col("shared") / F.least("nq", "nr") * F.when(F.col("shared") == 1, V.SINGLE_TERM).otherwise(1.0)
+    blocks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-about // BLOCK))
+    tokens = lambda c: F.coalesce(text.tokens(F.col(c)), F.array().cast("array<string>")).alias("t")
+    q = queries.select("query_id", tokens("query")).groupBy("query_id").agg(F.flatten(F.collect_list("t")).alias("t"), F.first(F.size("t")).alias("n"))
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "query_id", F.lit(None).cast(records.schema["id"].dataType).alias("id"), "t", "n")
+    r = records.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", tokens("content"), F.lit(None).cast("int").alias("n"))
+
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    hits = r.unionByName(q).groupBy("block").applyInArrow(lexical.in_block(k), f"query_id {kind(queries, 'query_id')}, id {kind(records, 'id')}, shared bigint, least bigint")
+    over = F.col("shared") / F.col("least") * F.when(F.col("shared") == 1, V.SINGLE_TERM).otherwise(1.0)
     pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("overlap", 9).desc(), F.col("shared").desc(), "id"))
-    return hits.withColumn("overlap", over).withColumn("pos", pos).where(F.col("pos") <= k).drop("nq", "nr")
+    return hits.withColumn("overlap", over).withColumn("pos", pos).where(F.col("pos") <= k).drop("least")
 
 
 def bm25(rows: DataFrame, query: str = "query", content: str = "content", group: str = "query_id", key: str = "id") -> DataFrame:

@@ -21,7 +21,8 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five records of the whole store that share most with each query."""
     active = records(spark, sf_dir, ["id", "content", "supersededBy"]).where(F.col("supersededBy").isNull() & (F.trim("content") != ""))
-    return recall.lexical_top(table(spark, sf_dir, "recall_query"), active, 5).select("query_id", "id", "shared", "pos", F.round("overlap", 6).alias("overlap"))
+    about = table(spark, sf_dir, "memory_record").count()  # from the files' footers
+    return recall.lexical_top(table(spark, sf_dir, "recall_query"), active, 5, about).select("query_id", "id", "shared", "pos", F.round("overlap", 6).alias("overlap"))
 
 
 def bm25_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

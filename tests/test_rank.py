@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, rank, recall
+from palimpsest.operators import graph, lexical, rank, recall
 
 
 def frame(spark, rows, schema):
@@ -71,6 +73,34 @@ def test_lexical_inverted_index(spark):
     assert [(x.query_id, x.id, x.shared, x.overlap) for x in recall.lexical_top(q, r, 5).orderBy("pos").collect()] == [("q", "b", 2, 1.0)]
 
 
+def test_lexical_search_makes_no_row_for_each_pair(spark):
+    r = random.Random(3)
+    text = lambda: " ".join(f"word{min(60, int(r.paretovariate(0.7)))}x" for _ in range(r.randrange(1, 12)))
+    queries, records = [(f"q{i}", text()) for i in range(60)], [(f"r{i:03}", text()) for i in range(300)]
+    q, d = frame(spark, queries, "query_id string, query string"), frame(spark, records, "id string, content string")
+    top = recall.lexical_top(q, d, 4)
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for name, ask in queries:
+        a, met = set(ask.split()), []
+        for id_, content in records:
+            b = set(content.split())
+            if n := len(a & b):
+                met.append((-round(n / min(len(a), len(b)) * (0.5 if n == 1 else 1), 9), -n, id_))
+        want |= {(name, id_, -n, pos) for pos, (_, n, id_) in enumerate(sorted(met)[:4], 1)}
+    assert {(x.query_id, x.id, x.shared, x.pos) for x in top.collect()} == want
+
+
+def test_common_tokens_as_sets_change_nothing():
+    r = random.Random(5)
+    some = lambda n: [sorted({f"t{int(r.paretovariate(0.6))}" for _ in range(r.randrange(9))}) for _ in range(n)]
+    q, d = some(40), some(200)
+    lists = [pa.array(x, pa.list_(pa.string())) for x in (q, d)]
+    sizes = [np.array([len(t) for t in x]) for x in (q, d)]
+    run = lambda common: sorted(z for got in lexical.best(lists[0], sizes[0], lists[1], sizes[1], 5, common) for z in zip(*(x.tolist() for x in got), strict=True))
+    assert run(0) == run(1) == run(8) == run(256) == run(None) and len(run(0)) > 150
+
+
 def test_timeline_cap_and_contrast(spark):
     rows = [("q", i + 1, f"text {i}", i, f"2025-01-{i + 1:02}") for i in range(20)] + [("single", 1, "x", 1, None)]
     t = recall.timeline(frame(spark, rows, "query_id string, pos int, content string, turn bigint, date_key string")).collect()
