@@ -18,9 +18,12 @@ def fold_access(log: DataFrame, key: str = "id") -> DataFrame:
 
 def with_access(records: DataFrame, folded: DataFrame, now) -> DataFrame:
     """records with log, ss and rs as they are after their accesses."""
-    joined = records.join(folded, "id", "left")
-    new = score.accessed(F.col("accessLog"), F.col("extra"), F.col("turn"), F.col("storageStrength"), F.col("retrievalStrength"), now)
-    return joined.withColumns(new)
+    return accessed(records.join(folded, "id", "left"), now)
+
+
+def accessed(records: DataFrame, now) -> DataFrame:
+    """The same for records that have their accesses, `extra`, already."""
+    return records.withColumns(score.accessed(F.col("accessLog"), F.col("extra"), F.col("turn"), F.col("storageStrength"), F.col("retrievalStrength"), now))
 
 
 def scored(pool: DataFrame, weights: tuple[float, float, float], query: str = "query") -> DataFrame:

@@ -61,20 +61,23 @@ class Config:
 
 def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, section, pos, id, line): what is put before each question, in sections, each line with its record's id."""
-    p = cut(search.pool(spark, sf_dir).where(~F.col("archived")))
-    ranked = rank.fidelity(rank.placed(rank.scored(p, V.WEIGHTS_CONTEXT)))
-    gated = cut(ranked.where((F.round("score", 9) >= V.ACTIVATION) | (F.col("storageStrength") >= V.PINNED)))
+    ranked = rank.fidelity(rank.placed(rank.scored(search.pool(spark, sf_dir).where(~F.col("archived")), V.WEIGHTS_CONTEXT)))
+    asks_when = (F.col("pos") <= 30) & F.col("query").rlike(V.TEMPORAL_PROMPT)
+    # Scored before it is written, and without what only the score needs.
+    p = cut(ranked.select("query_id", "id", "pos", "score", "level", "content", "turn", "now", "date", "layer", "kind", "taskref", "path", "paths", "sourceRefs", "supersededBy", "storageStrength", asks_when.alias("asks_when")))
+    gated = p.where((F.round("score", 9) >= V.ACTIVATION) | (F.col("storageStrength") >= V.PINNED))
     q = table(spark, sf_dir, "recall_query").select("query_id", "query")
     n = notes(spark, sf_dir, {"id": F.col("id"), "content": F.col("content"), "tags": F.col("tags"), "mtime": F.col("metadata.mtimeMs")}).where(F.trim("content") != "")
     office = F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, V.OFFICE_TAGS)))
-    near = recall.lexical_top(q, n, 20).join(n, "id").withColumn("_o", (~office).cast("int") * 1000 + F.col("pos"))
+    about = table(spark, sf_dir, "note_record").count()  # from the files' footers
+    near = recall.lexical_top(q, n, 20, about).join(n, "id").withColumn("_o", (~office).cast("int") * 1000 + F.col("pos"))
     noted = render.fit_lines(near.select("query_id", F.col("_o").alias("pos"), "id", render.note_line(F.col("tags"), F.lit(""), F.col("content")).alias("line")), int(BUDGET * SHARES["notes"]), clip_last=True)
     pairs, hubs = map(cut, graph.edges(p, "query_id"))
     seeds = cut(gated.where(F.col("pos") <= V.SEEDS).select("query_id", "id", F.col("score").alias("energy")))
     emerged = graph.spread(pairs, hubs, seeds, "query_id").join(p.select("query_id", "id", "content"), ["query_id", "id"])
     body = F.substring(render.truncate_words(F.col("content"), 40), 1, 200)
     emergent = render.fit_lines(emerged.select("query_id", F.col("place").alias("pos"), "id", F.concat(F.lit("- " + render.FRAME), body, F.lit(" (id: "), "id", F.lit(")")).alias("line")), int(BUDGET * SHARES["emergent"]), clip_first=False)
-    dated = gated.where((F.col("pos") <= 30) & F.col("query").rlike(V.TEMPORAL_PROMPT)).withColumn("date_key", temporal.date_key(F.col("date")))
+    dated = gated.where("asks_when").withColumn("date_key", temporal.date_key(F.col("date")))
     line = recall.timeline(dated)
     line = line.withColumn("pos", F.row_number().over(search.rank.W.partitionBy("query_id").orderBy("axis", "at"))).select("query_id", "pos", F.lit(None).cast("string").alias("id"), F.concat(F.lit("- "), F.when(F.col("axis") == "turn", F.concat(F.lit("turn "), F.col("at").cast("bigint"))).otherwise(F.col("at")), F.lit(": "), "headline").alias("line"))
     times = render.fit_lines(line, int(BUDGET * SHARES["timeline"]), clip_first=False)
@@ -82,8 +85,11 @@ def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     aids = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("query_id", "section", F.col("pos").cast("int").alias("pos"), "id", "line")
     aids = cut(aids)
     spent = aids.groupBy("query_id").agg(F.sum(F.length("line") + 1).alias("spent"))
-    lines = gated.select("query_id", "pos", "id", render.evidence_line(F.col("content"), F.col("level"), F.col("id"), F.when((F.col("layer") == "L0") & (F.col("turn") > 0), F.col("now") - F.col("turn")).otherwise(F.lit(0))).alias("line"))
     w = search.rank.W.partitionBy("query_id").orderBy("pos").rowsBetween(search.rank.W.unboundedPreceding, 0)
+    # Lines are made only where those before leave room: up to where even the least that all of them take passes the budget.
+    least = F.when(F.col("level") == "full", F.length("content")).otherwise(0) + F.length("id") + len(render.FRAME)
+    some = gated.withColumn("_least", F.sum(least).over(w)).where((F.col("_least") <= BUDGET) | (F.col("pos") == 1))
+    lines = some.select("query_id", "pos", "id", render.evidence_line(F.col("content"), F.col("level"), F.col("id"), F.when((F.col("layer") == "L0") & (F.col("turn") > 0), F.col("now") - F.col("turn")).otherwise(F.lit(0))).alias("line"))
     fits = lines.join(spent, "query_id", "left").withColumn("_t", F.sum(F.length("line")).over(w)).where((F.col("_t") <= BUDGET - F.coalesce("spent", F.lit(0))) | (F.col("pos") == 1))
     evidence = fits.select("query_id", F.lit(4).alias("section"), F.col("pos").cast("int").alias("pos"), "id", "line")
     return aids.unionByName(evidence)

@@ -61,14 +61,14 @@ def pool(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, sig:
         temporal.query_anchor(ask).alias("anchor"), (ask.rlike(V.CURRENT_STATE) & ~ask.rlike(V.PAST_QUESTION)).alias("current"),
     )
     sig = sig if sig is not None else signals(spark, sf_dir).select("query_id", "id", F.when(~F.isnan("semanticScore"), F.col("semanticScore")).alias("sem"), F.col("rerankScore").alias("rerank"))
-    rows = sig.join(active, "id").join(q, "query_id")
+    # Only the candidates' accesses are folded, and beside the record, so that its text is sent once more, to its query.
+    log = table(spark, sf_dir, "access_log").join(sig.select("id").distinct(), "id", "left_semi")
+    rows = sig.join(active, "id").join(rank.fold_access(log), "id", "left").join(q, "query_id")
     stats = rows.groupBy("query_id").agg(
         (F.max("turn") + 1).alias("now"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("session", F.lit("?"))).alias("sessions"), F.sum(F.length("content")).alias("chars"),
         F.avg(F.col("content").rlike(r"(?i)\nassistant:|^assistant:").cast("int")).alias("voice"), F.coalesce(F.max("date"), F.lit("")).alias("newest"), F.coalesce(F.bool_or(F.length("date") >= 8), F.lit(False)).alias("dated"),
     )
-    # Only the candidates' accesses are folded.
-    log = table(spark, sf_dir, "access_log").join(sig.select("id").distinct(), "id", "left_semi")
-    return rank.with_access(rows.join(stats, "query_id"), rank.fold_access(log), F.col("now"))
+    return rank.accessed(rows.join(stats, "query_id"), F.col("now"))
 
 
 def resolved_budget(o: Options):

@@ -101,6 +101,33 @@ def test_common_tokens_as_sets_change_nothing():
     assert run(0) == run(1) == run(8) == run(256) == run(None) and len(run(0)) > 150
 
 
+def test_injection_writes_texts_once_and_all_lines_that_fit(spark, monkeypatch):
+    from palimpsest.functions import render
+    from palimpsest.functions import vocabulary as V
+    from palimpsest.plans import injection, search
+
+    data, wide, cut = "/root/testdata/sf0.001", [], injection.cut
+    monkeypatch.setattr(injection, "cut", lambda df: (wide.extend([df.columns] if "content" in df.columns else []), cut(df))[1])
+    got = {(r.query_id, r.section, r.pos): r.line for r in injection.injection(spark, data).collect()}
+    assert len(wide) == 1 and not {"query", "exprs", "options", "log", "extra"} & set(wide[0])
+    ranked = rank.fidelity(rank.placed(rank.scored(search.pool(spark, data).where(~F.col("archived")), V.WEIGHTS_CONTEXT)))
+    age = F.when((F.col("layer") == "L0") & (F.col("turn") > 0), F.col("now") - F.col("turn")).otherwise(F.lit(0))
+    rows = ranked.where((F.round("score", 9) >= V.ACTIVATION) | (F.col("storageStrength") >= V.PINNED)).select("query_id", "pos", render.evidence_line(F.col("content"), F.col("level"), F.col("id"), age).alias("line")).orderBy("query_id", "pos").collect()
+    want, used = {}, {}
+    for r in rows:
+        used[r.query_id] = used.get(r.query_id, sum(len(x) + 1 for (q, section, _), x in got.items() if q == r.query_id and section != 4)) + len(r.line)
+        if used[r.query_id] <= injection.BUDGET or r.pos == 1:
+            want[r.query_id, 4, r.pos] = r.line
+    assert {k: v for k, v in got.items() if k[1] == 4} == want and len(want) < len(rows)
+
+
+def test_a_pool_sends_its_texts_once_after_the_records_are_read(spark):
+    from palimpsest.plans import search
+
+    plan = search.pool(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftOuter")  # accesses join the records, before these go to their queries
+
+
 def test_timeline_cap_and_contrast(spark):
     rows = [("q", i + 1, f"text {i}", i, f"2025-01-{i + 1:02}") for i in range(20)] + [("single", 1, "x", 1, None)]
     t = recall.timeline(frame(spark, rows, "query_id string, pos int, content string, turn bigint, date_key string")).collect()
